@@ -261,7 +261,7 @@ def plain(n: Call, name: str, args: list[str], c: Context) -> str:
     if name == "bucket":
         return bucket(n, args, c)
     if name == "string_agg":
-        inner = f"listagg({'DISTINCT ' if n.distinct else ''}CAST({args[0]} AS STRING), {args[1] if len(args) > 1 else text(',')})"
+        inner = f"listagg({'DISTINCT ' if n.distinct else ''}{args[0]}, {args[1] if len(args) > 1 else text(',')})"
         return inner + (f" WITHIN GROUP (ORDER BY {', '.join(sort_text(o, c) for o in n.order)})" if n.order else "")
     if name == "explode_outer" or name not in SCALARS:
         name = AGGREGATE_NAMES.get(name, name)
