@@ -130,6 +130,18 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _unexplained(grammar: Grammar):
+    """The rows that are not toxic, and the toxic ones in which the grammar finds nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, insults, threats = grammar.automaton(), frozenset(grammar.insults), frozenset(grammar.threats)
+        for batch in batches:
+            texts, toxic = (c.to_pylist() for c in batch.columns)
+            yield batch.filter(pa.array([not x or not any(counts_of(t, grammar, automaton, insults, threats)) for t, x in zip(texts, toxic)], pa.bool_()))
+
+    return run
+
+
 def lexicon(rows: list[tuple[str, int, int]], least: int = 5) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Words and stems that the toxic rows of the sample have and the others have not.
 
@@ -196,9 +208,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Grammar()
     known = F.broadcast(spark.createDataFrame(picked, "id long, toxic int"))  # max_labelled rows of two numbers
     sample = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(known, "id")
-    seen = sample.select("text", "toxic").mapInArrow(_vocabulary, "word string, clean long, toxic long")
-    seen = seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 2")
-    words, stems = lexicon([tuple(r) for r in seen.collect()])
+
+    def words_of(rows: DataFrame) -> list[tuple]:
+        seen = rows.mapInArrow(_vocabulary, "word string, clean long, toxic long")
+        seen = seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 2")
+        return [tuple(r) for r in seen.collect()]
+
+    rows = sample.select("text", "toxic")
+    _, stems = lexicon(words_of(rows))
+    # single words only from what the list and the stems leave open: others just stand beside an insult in some copies
+    open_rows = rows.mapInArrow(_unexplained(Grammar(INSULTS, stems)), "text string, toxic int")
+    words, _ = lexicon(words_of(open_rows))
     grammar = Grammar(tuple(dict.fromkeys(INSULTS + words)), stems)
     schema = "toxic int, " + ", ".join(f"{k} long" for k in KINDS) + ", score double"
     rows = sample.select("toxic", "text").mapInArrow(_counts(grammar), schema).toArrow()
