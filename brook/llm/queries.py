@@ -119,4 +119,24 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+          FROM w
+        ), u AS (
+          SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s
+        ), p AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+          FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), e AS (
+          SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)
+        ), r AS (
+          SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.node = e.x
+        )
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
+        FROM s JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""",
 }
