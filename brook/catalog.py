@@ -112,6 +112,32 @@ class Catalog:
 
         return cls.from_dict(yaml.safe_load(Path(path).read_text()))
 
+    @classmethod
+    def from_model_tests(cls, path: str | Path) -> Catalog:
+        """From a YAML file of models whose columns carry tests: unique, and relationships with ``to`` and ``field``."""
+        import re
+
+        import yaml
+
+        out = cls()
+        for m in yaml.safe_load(Path(path).read_text()).get("models") or []:
+            t = out.tables.setdefault(m["name"].lower(), Table(m["name"].lower()))
+            for c in m.get("columns") or []:
+                name = c["name"].lower()
+                t.columns.append(name)
+                for test in c.get("tests") or c.get("data_tests") or []:
+                    if test == "unique":
+                        t.unique.add(name)
+                    elif isinstance(test, Mapping) and "relationships" in test:
+                        r = test["relationships"]
+                        r = r.get("arguments", r)
+                        other = re.sub(r"^ref\(['\"](.+)['\"]\)$", r"\1", r["to"].strip())
+                        out.relationships.append(Relationship(t.name, name, other.lower(), r["field"].lower()))
+                    elif isinstance(test, Mapping) and "accepted_values" in test:
+                        v = test["accepted_values"]
+                        t.distinct_values[name] = list(v.get("arguments", v)["values"])
+        return out
+
     def to_dict(self) -> dict:
         return {
             "tables": {t.name: {"columns": t.columns, "primary_key": t.primary_key, "unique": sorted(t.unique), "distinct_values": t.distinct_values} for t in self.tables.values()},

@@ -382,6 +382,8 @@ class Lowering:
         if s.grouped or not s.tables:
             name = "_left"
             s = Stage(s.df.alias(name), {name: name}, {name: s.df.columns}, s.order) if not s.tables else Stage(s.df.alias(next(iter(s.tables))), dict(list(s.tables.items())[:1]), {next(iter(s.tables)): s.df.columns}, s.order)
+        if step.kind in ("right", "full") and s.conditions and len(s.tables) > 1:
+            raise PlanProblem("a right or full join after where and another join is ambiguous: stash what comes before it")
         df, table = self.source(step.source)
         alias = step.source.alias
         if alias in s.tables:

@@ -164,3 +164,28 @@ def test_json_and_fluent(spark, tables):
 def test_rejected(q, text):
     with pytest.raises(BrookError):
         q(text)
+
+
+def test_ambiguous_outer_join(q):
+    with pytest.raises(BrookError):
+        q("from orders as a & order_items as b on a.order_id = b.order_id where a.order_id > 1 ?&? users as c on c.id = a.order_id")
+
+
+def test_catalog_files(tmp_path):
+    p = tmp_path / "models.yml"
+    p.write_text(
+        "models:\n- name: orders\n  columns:\n  - name: id\n    tests: [unique]\n  - name: user_id\n    tests:\n"
+        "    - relationships: {to: \"ref('users')\", field: id}\n  - name: status\n    tests:\n    - accepted_values: {values: [a, b]}\n- name: users\n  columns: [{name: id}]\n"
+    )
+    c = Catalog.from_model_tests(p)
+    assert c.infer_join("orders", "users").column == "user_id" and c.is_unique("orders", "id") and c.table("orders").distinct_values == {"status": ["a", "b"]}
+    again = Catalog.from_dict(c.to_dict())
+    assert again.infer_join("users", "orders").other == "users" and again.is_unique("orders", "id")
+
+
+def test_inferred_relationships():
+    c = Catalog.from_dict({"tables": {"users": {"columns": ["id"]}, "posts": {"columns": ["id", "owner_user_id"]}, "categories": {"columns": ["id"]}, "items": {"columns": ["id", "category_id"]}}})
+    assert c.infer_join("posts", "users").column == "owner_user_id"
+    assert c.infer_join("items", "categories").other_column == "id"
+    with pytest.raises(BrookError):
+        c.infer_join("users", "categories")
