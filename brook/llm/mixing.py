@@ -82,7 +82,7 @@ def mix(
     source_targets: Mapping[str, float] | None = None,
     lang_targets: Mapping[str, float] | None = None,
     topic_targets: Mapping[str, float] | None = None,
-    temper: float = 0.9,
+    temper: float = 0.97,
     max_sources: int = 256,
     seed: int = 7,
     source_col: str = "source",
