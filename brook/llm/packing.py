@@ -14,6 +14,8 @@ that share an id are packed each for itself; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -28,34 +30,85 @@ from .common import stored, text_of
 
 CAPACITY = 2048
 #: Distinct chunks a worker remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PIECES = "id long, part int, rank long, piece int, start long, length int, crc long"
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return [rest.get(b, chr(b)) for b in range(256)]
+
+
 class Chunks:
     """Token ids of white-space separated chunks, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space before anything else, so a chunk's ids do not depend on its neighbours.
+    The tokenizer splits at white space before anything else, and between letters and other signs, so the ids of
+    a chunk do not depend on its neighbours.  Most chunks are Latin letters and perhaps a stop or comma: their
+    letters go to the merging step directly.  All others go through the whole tokenizer.
     """
 
+    TAIL = b".,!?;:"
+
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
+
+    def whole(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def core(self, low: bytes) -> bytes | None:
+        """Ids of a run of lower-case Latin letters, or None."""
+        if low.isalpha():
+            word = low.decode()
+        else:
+            word = low.decode()
+            if not word.isalpha() or max(word) > "\u024f" or unicodedata.normalize("NFC", word) != word:
+                return None
+            folded = word.lower()
+            if not folded.isalpha():
+                return None
+            word = "".join(map(self.letters.__getitem__, folded.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
+
+    def learn(self, fresh: list[bytes]) -> None:
+        known, cores, rest = self.known, self.cores, []
+        for c in fresh:
+            low = c.lower()
+            core = low.rstrip(self.TAIL)
+            ids = cores.get(core)
+            if ids is None:
+                ids = self.core(core)
+                if ids is None:
+                    rest.append(c)
+                    continue
+                cores[core] = ids
+            tail = low[len(core) :]
+            if tail:
+                if tail not in cores:
+                    cores[tail] = self.whole([tail])[0]
+                ids += cores[tail]
+            known[c] = ids
+        for k in range(0, len(rest), 1024):
+            known.update(zip(rest[k : k + 1024], self.whole(rest[k : k + 1024])))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        known = self.known
-        fresh = list({c for s in split for c in s if c not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
+        fresh = list({c for s in split for c in s if c not in self.known})
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            self.cores = {b"": b""}
             fresh = list({c for s in split for c in s})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        self.learn(fresh)
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 def tokenise(tokenizer_path: str, capacity: int, end_id: int):
@@ -65,9 +118,9 @@ def tokenise(tokenizer_path: str, capacity: int, end_id: int):
         chunks, part = Chunks(tokenizer_path), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 128):
                 rows: list[tuple] = []
-                some = batch.slice(at, 256)
+                some = batch.slice(at, 128)
                 ids = some.column(0).to_pylist()
                 for i, raw in zip(ids, chunks.ids([t.encode() for t in some.column(1).to_pylist()])):
                     raw += end
