@@ -17,15 +17,19 @@ empty result; other columns of the table are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WS_RUN, doc_key, shared_dir, stored, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without space set aside beforehand (some MB for each of many small stores).
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Digests that were met again are broadcast up to this many (32 bytes each); beyond it every text is compared.
 BROADCAST_HITS = 250_000
 
@@ -69,9 +73,7 @@ def dedup_state(
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at")).alias("first"))
     )
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with _settings(spark, STATE_STORE):
         query = (
             keyed.writeStream.format("noop")
             .outputMode("update")
@@ -80,16 +82,29 @@ def dedup_state(
             .start()
         )
         query.awaitTermination()
+        state = spark.read.format("statestore").load(checkpoint)
+        n, first = state.schema["value"].dataType.names
+        return stored(
+            spark,
+            state.select(
+                F.col("key.digest").alias("digest"),
+                F.col(f"value.`{n}`").alias("n"),
+                F.col(f"value.`{first}`.did").alias("keep_did"),
+                F.col(f"value.`{first}`.at").alias("keep_at"),
+            ),
+        )
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
-        spark.conf.set(PROVIDER, before)
-    state = spark.read.format("statestore").load(checkpoint)
-    n, first = state.schema["value"].dataType.names
-    return state.select(
-        F.col("key.digest").alias("digest"),
-        F.col(f"value.`{n}`").alias("n"),
-        F.col(f"value.`{first}`.did").alias("keep_did"),
-        F.col(f"value.`{first}`.at").alias("keep_at"),
-    )
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(
@@ -102,7 +117,7 @@ def exact_dedup(
     max_bytes_per_batch: int = 64 << 30,
 ) -> DataFrame:
     """One row per row of the table: id, keep_id, group_size, kept, digest, text_sha256."""
-    state = stored(spark, dedup_state(spark, path, checkpoint, id_col, text_col, digest, max_bytes_per_batch))
+    state = dedup_state(spark, path, checkpoint, id_col, text_col, digest, max_bytes_per_batch)
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
 
     hits = state.filter("n > 1").select("digest")
