@@ -64,7 +64,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     pad = np.zeros(width - 1, dtype=np.uint64)
     chosen = _slide(np.concatenate([pad, least, pad]), width, False)
     where = np.flatnonzero(h == chosen)
-    return where, h[where], prefix
+    return where, mix(h[where]), prefix  # mixed again: chosen hashes are small ones, and buckets go by the leading bits
 
 
 def anchor_keys(length: int, seed: int):
@@ -303,7 +303,7 @@ def _apply(bits: int, length: int, seed: int):
                     start = np.unique(own.at[hit] - o)
                     np.add.at(step, start, 1)
                     np.add.at(step, start + length, -1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
             out = []
             for k, (a, b) in enumerate(zip(tile.offsets[:-1].tolist(), tile.offsets[1:].tolist())):
                 own_gone, data = gone[a:b], tile.data[a:b]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are worked on in pieces of about this many bytes, whole documents each, so arrays stay small.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 

@@ -26,7 +26,7 @@ from .common import doc_key, shared_dir, stored, text_of
 from .text_bytes import from_planes, to_planes
 
 #: Bytes of text in a tile.  Larger executors may take larger ones; a single longer document is a tile of its own.
-TILE_BYTES = 8 << 20
+TILE_BYTES = 4 << 20
 #: Bytes of text for each bucket of hashes.
 BUCKET_BYTES = 8 << 20
 TILE = "tile long, size long, ids binary, ends binary, texts binary"
