@@ -13,9 +13,10 @@ The join is exact.  Shingles are ordered by the number of documents that hold th
   that are similar have at least five shingles together, which makes these counts hold.)
 * Documents that share a key are verified by their whole sets.
 
-Sets that are equal are one class from the start.  Within a key, each class is first verified against the
-smallest class of one of its keys; components of these links are formed, and then only pairs that lie in
-different components are left to verify, so a large group of near copies costs its size and not its square.
+Sets that are equal are one class from the start.  In a few rounds each class is verified against one other, of
+those that speak for its keys; components of these links are formed, and then only pairs that lie in different
+components, and whose common shingles may be enough, are left to verify: a large group of near copies
+costs its size and not its square.
 
 Defined cases: null, empty and blank texts have no shingles and no links; a text under five words is one
 shingle; rows with the same id are one node of the graph; null ids share one node, larger than all others; other
@@ -38,6 +39,8 @@ from .tiles import Found, Tile, bucket_bits, rows_of, shared_keys, tile_table
 
 #: A shingle in more documents than this is frequent.
 RARE = 8
+#: Rounds of one verification for each class before the remaining pairs are formed.
+ROUNDS = 1
 CANDIDATE = "did long, n long, sig1 long, sig2 long, tokens array<long>, keys array<long>"
 
 
@@ -111,6 +114,54 @@ def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: in
     return stored(spark, met.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (n - F.col("shared"))).select("a", "b"))
 
 
+def with_component(post: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return post.withColumn("c", F.col("did"))
+    found = post.join(comp.withColumnRenamed("node", "did"), "did", "left")
+    return found.select("key", "did", "n", F.coalesce("component", "did").alias("c"))
+
+
+def favourites(placed: DataFrame, r: int) -> DataFrame:
+    """For each class the class of another component that speaks for most of its keys: pairs (a, b).
+
+    The smallest id speaks for a key in the first round, in later ones the smallest by a hash of id and round.
+    """
+    rank = F.struct(F.xxhash64("did", F.lit(r)).alias("h"), "did", "c") if r else F.struct(F.col("did").alias("h"), "did", "c")
+    speaker = placed.groupBy("key").agg(F.min(rank).alias("s"), F.min("c").alias("m"), F.max("c").alias("x")).filter("m < x")
+    votes = placed.join(speaker.select("key", F.col("s.did").alias("to"), F.col("s.c").alias("to_c")), "key").filter("c <> to_c")
+    best = votes.groupBy("did", "to").agg(F.count(F.lit(1)).alias("k")).groupBy("did").agg(F.max(F.struct("k", "to")).alias("v"))
+    return best.select(F.col("v.to").alias("a"), F.col("did").alias("b"))
+
+
+def possible_pairs(spark: SparkSession, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes left in different components that may be similar enough.
+
+    The prefix filter once more, over these classes alone.  Only shingles that another of them has too can be
+    common to a pair; with the rarest of these first, a pair's first common one at place i of u leaves at most
+    u - i common ones, and (100 + percent) (u - i) >= percent (n + n') must hold on both sides.  Near copies that
+    all differ from each other drop out by this, before any pair is formed.
+    """
+    left = sets.join(rest.select("did", "c").distinct(), "did")
+    tokens = left.select("did", "n", "c", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = tokens.join(common, "token").groupBy("did", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    cap = (100 + percent) * (F.size("ts") - F.col("i")) - percent * F.col("n")
+    keys = ranked.select("did", "n", "c", "ts", F.posexplode("ts").alias("i", "t")).withColumn("cap", cap).filter(100 * F.col("cap") >= percent * percent * F.col("n"))
+    keys = stored(spark, keys.select(F.col("t.token").alias("key"), "did", "n", "c", "cap"))
+    per_key = keys.groupBy("key").agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.min("c").alias("m"), F.max("c").alias("x")).filter("m < x")
+    able = keys.join(per_key.select("key", "least", "most"), "key").filter((F.col("cap") >= percent * F.col("least")) & (percent * F.col("n") <= F.col("most")))
+    able = stored(spark, able.select("key", "did", "n", "c", "cap"))
+    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("did", "n", "c", "cap")]) for side in "ab")
+    return (
+        x.join(y, "key")
+        .filter("did_a < did_b and c_a <> c_b")
+        .filter((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+        .filter((F.col("cap_a") >= percent * F.col("n_b")) & (F.col("cap_b") >= percent * F.col("n_a")))
+        .select(F.col("did_a").alias("a"), F.col("did_b").alias("b"))
+        .distinct()
+    )
+
+
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rare: int = RARE
 ) -> DataFrame:
@@ -129,25 +180,23 @@ def ngram_join(
     )
     sets = classes.select("did", "n", "tokens")
     post = stored(spark, classes.select("did", "n", F.explode("keys").alias("key")))
-    shared = post.groupBy("key").agg(F.min("did").alias("m"), F.max("did").alias("x")).filter("m < x")
-
-    # first each class against the smallest class that shares a key with it ...
-    nearest = post.join(shared, "key").filter("did > m").groupBy("did").agg(F.min("m").alias("m"))
-    links = verified(spark, nearest.select(F.col("m").alias("a"), F.col("did").alias("b")), sets, percent)
-    comp = stored(spark, components(links))
+    shared = post.groupBy("key").agg(F.min("did").alias("m"), F.max("did").alias("x")).filter("m < x").select("key")
+    post = stored(spark, post.join(shared, "key", "left_semi"))
+
+    # rounds in which each class is verified against one other: of those that speak for its keys, the one it shares most with
+    links, comp = None, None
+    for r in range(ROUNDS):
+        placed = with_component(post, comp)
+        new = verified(spark, favourites(placed, r), sets, percent)
+        links = new if links is None else links.union(new)
+        comp = stored(spark, components(links))
+        if new.isEmpty():
+            break
     # ... then whatever pairs of classes still lie in different components
-    placed = post.join(shared.select("key"), "key", "left_semi").join(comp.withColumnRenamed("node", "did"), "did", "left")
-    placed = placed.withColumn("c", F.coalesce("component", "did")).select("key", "did", "n", "c")
+    placed = with_component(post, comp)
     apart = placed.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).filter("m < x").select("key")
     rest = stored(spark, placed.join(apart, "key", "left_semi"))
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("did", "n", "c")]) for side in "ab")
-    open_pairs = (
-        x.join(y, "key")
-        .filter("did_a < did_b and c_a <> c_b")
-        .filter((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-        .select(F.col("did_a").alias("a"), F.col("did_b").alias("b"))
-        .distinct()
-    )
+    open_pairs = possible_pairs(spark, rest, sets, percent)
     more = verified(spark, open_pairs, sets, percent)
 
     members = some.join(classes.select("sig1", "sig2", "n", F.col("did").alias("class")), ["sig1", "sig2", "n"]).select("did", "class")
