@@ -34,10 +34,10 @@ def tokens(text_col: str = "text") -> Column:
 
 
 def topic(text_col: str = "text") -> Column:
-    """A coarse topic from the form of a text: notice, table, list or prose."""
+    """A coarse topic from the form of the whole text: notice, table, list or prose."""
     t = text_of(text_col)
     return (
-        F.when(F.contains(F.lower(F.right(t, F.lit(400))), F.lit("licen")), "notice")
+        F.when(F.contains(F.lower(t), F.lit("licen")), "notice")
         .when(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))) >= 5, "table")
         .when(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) >= 20, "list")
         .otherwise("prose")

@@ -343,3 +343,10 @@ def test_raking():
     out = rake(cells, ({"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}, {"p": 0.8, "q": 0.2}), rounds=500)
     assert sum(v for k, v in out.items() if k[0] == "a") == pytest.approx(50, rel=1e-3)
     assert sum(v for k, v in out.items() if k[2] == "q") == pytest.approx(20, rel=1e-3)
+
+
+def test_topic_reads_the_whole_text(spark):
+    far = "plain words " * 100
+    texts = ["LICENSE\n" + far, far + "licensed " + far, far + "license", far]
+    rows = mix(spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    assert got(rows, "doc_id", "__topic") == collections.Counter([(0, "notice"), (1, "notice"), (2, "notice"), (3, "prose")])
