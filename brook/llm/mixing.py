@@ -5,9 +5,10 @@ the target shares of every source, every language and every topic; a cell's fact
 with which its documents are kept, scaled so that the largest is 1.  A document's draw is a hash of its id and
 a seed, so the same rows are kept wherever and however often the job runs.
 
-Sources are listed by the targets; all others form one cell, so cells number (sources + 1) x (languages + 1) x
-topics whatever the corpus.  Without targets, they are the current shares to the power ``temper`` (under 1:
-flatter), over the ``max_sources`` largest sources.
+Values listed by given targets have cells of their own and all others form one.  Without targets every source
+and every language is a value of its own, whatever their number, and the targets are the current shares to the
+power ``temper`` (under 1: flatter).  Up to ``local_cells`` cells are raked on the driver, more of them as a table
+by the same steps.
 
 Defined cases: null source or language is the value "(null)"; null and empty texts have no tokens and are kept
 with probability 1 (they weigh nothing); rows that share an id are drawn together; null ids draw as one id; an
@@ -19,13 +20,17 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, WS_RUN, text_of
+from .common import WS, WS_RUN, stored, text_of
 
 NONE, OTHER = "(null)", "(other)"
 ROUNDS = 50
+#: Cells raked on the driver at most; more are raked as a table.
+LOCAL_CELLS = 200_000
+AXES = ("s", "l", "t")
+CELL = "__s string, __l string, __topic string, __weight double, __probability double"
 
 
 def tokens(text_col: str = "text") -> Column:
@@ -75,6 +80,56 @@ def rake(cells: Mapping[tuple[str, str, str], float], targets: tuple[Mapping[str
     return now
 
 
+def local_factors(spark: SparkSession, cells: DataFrame, given: tuple[Mapping[str, float] | None, ...], temper: float) -> DataFrame:
+    """Factor and probability of every cell, raked on the driver."""
+    found = {tuple(r[a] for a in AXES): r["n"] for r in cells.collect()}
+    targets = []
+    for axis, wanted in enumerate(given):
+        have: dict[str, float] = defaultdict(float)
+        for k, v in found.items():
+            have[k[axis]] += v
+        if wanted is None:
+            targets.append(tempered(have, temper))
+        else:
+            whole = sum(wanted.get(k, 0.0) for k in have) or 1.0
+            targets.append({k: wanted.get(k, 0.0) / whole for k in have})
+    raked = rake(found, tuple(targets))
+    factor = {k: raked[k] / v for k, v in found.items() if k in raked}
+    most = max(factor.values(), default=1.0) or 1.0
+    return F.broadcast(spark.createDataFrame([(*k, float(f), float(f / most)) for k, f in sorted(factor.items())], CELL))
+
+
+def table_factors(
+    spark: SparkSession, cells: DataFrame, given: tuple[Mapping[str, float] | None, ...], temper: float, rounds: int = ROUNDS, tolerance: float = 1e-10
+) -> DataFrame:
+    """The same with the cells as a table: a round is a sum and a join for each axis, written once."""
+    total = float(cells.agg(F.sum("n")).first()[0])
+    now = cells.withColumn("v", F.col("n").cast("double"))
+    for a, wanted in zip(AXES, given):
+        have = cells.groupBy(a).agg(F.sum("n").alias("h"))
+        if wanted is None:
+            raw = have.select(a, F.pow(F.col("h") / total, F.lit(temper)).alias("raw"))
+        else:
+            listed = spark.createDataFrame([(k, float(x)) for k, x in wanted.items()], f"{a} string, raw double")
+            raw = have.join(listed, a, "left").select(a, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+        whole = raw.agg(F.sum("raw")).first()[0] or 1.0
+        now = now.join(raw.select(a, (F.col("raw") / whole).alias(f"share_{a}")), a)
+    now = stored(spark, now)
+    for _ in range(rounds):
+        step = now
+        for a in AXES:
+            sums = step.groupBy(a).agg(F.sum("v").alias("h"))
+            scale = F.when(F.col("h") > 0, F.col(f"share_{a}") * total / F.col("h"))
+            step = step.join(sums, a).withColumns({"v": F.col("v") * F.coalesce(scale, F.lit(1.0)), f"off_{a}": F.abs(F.coalesce(scale, F.lit(1.0)) - 1)}).drop("h")
+        done = stored(spark, step)
+        now = done.drop(*[f"off_{a}" for a in AXES])
+        if done.agg(F.max(F.greatest(*[f"off_{a}" for a in AXES]))).first()[0] < tolerance:
+            break
+    factor = now.select(*AXES, (F.col("v") / F.col("n")).alias("f"))
+    most = factor.agg(F.max("f")).first()[0] or 1.0
+    return factor.select(F.col("s").alias("__s"), F.col("l").alias("__l"), F.col("t").alias("__topic"), F.col("f").alias("__weight"), (F.col("f") / most).alias("__probability"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,48 +138,29 @@ def mix(
     lang_targets: Mapping[str, float] | None = None,
     topic_targets: Mapping[str, float] | None = None,
     temper: float = 0.97,
-    max_sources: int = 256,
     seed: int = 7,
     source_col: str = "source",
     lang_col: str = "lang",
+    local_cells: int = LOCAL_CELLS,
 ) -> DataFrame:
     """``docs`` with __tokens, __topic, __weight (the cell's factor), __probability and __kept added."""
     spark = docs.sparkSession
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     flat = docs.select(name(source_col).alias("s"), name(lang_col).alias("l"), topic(text_col).alias("t"), tokens(text_col).alias("n"))
-    sums = flat.groupBy("s", "l", "t").agg(F.sum("n").alias("n")).filter("n > 0").persist()
-
-    def top(axis: str, given: Mapping[str, float] | None) -> list[str]:
-        if given is not None:
-            return list(given)
-        rows = sums.groupBy(axis).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), axis).limit(max_sources).collect()
-        return [r[axis] for r in rows]
-
-    named = {"s": top("s", source_targets), "l": top("l", lang_targets)}
-    folded = sums.select(*[F.when(F.col(a).isin(v), F.col(a)).otherwise(OTHER).alias(a) for a, v in named.items()], "t", "n")
-    cells = {(r["s"], r["l"], r["t"]): r["n"] for r in folded.groupBy("s", "l", "t").agg(F.sum("n").alias("n")).collect()}
-    sums.unpersist()
-    targets = []
-    for axis, given in enumerate((source_targets, lang_targets, topic_targets)):
-        have: dict[str, float] = defaultdict(float)
-        for k, v in cells.items():
-            have[k[axis]] += v
-        if given is None:
-            targets.append(tempered(have, temper))
-        else:
-            whole = sum(given.get(k, 0.0) for k in have) or 1.0
-            targets.append({k: given.get(k, 0.0) / whole for k in have})
-    raked = rake(cells, tuple(targets))
-    factor = {k: raked[k] / v for k, v in cells.items() if k in raked}
-    most = max(factor.values(), default=1.0) or 1.0
-    rows = [(*k, float(f), float(f / most)) for k, f in sorted(factor.items())]
-    lookup = F.broadcast(spark.createDataFrame(rows, "__s string, __l string, __topic string, __weight double, __probability double"))
-    of = {"s": source_col, "l": lang_col}
+
+    def value(c: Column, wanted: Mapping[str, float] | None) -> Column:
+        return c if wanted is None else F.when(c.isin(list(wanted)), c).otherwise(OTHER)
+
+    folded = flat.select(value(F.col("s"), source_targets).alias("s"), value(F.col("l"), lang_targets).alias("l"), "t", "n")
+    cells = stored(spark, folded.groupBy(*AXES).agg(F.sum("n").alias("n")).filter("n > 0"))
+    factors = local_factors if cells.count() <= local_cells else table_factors
+    lookup = factors(spark, cells, (source_targets, lang_targets, topic_targets), temper)
     keyed = docs.withColumns(
         {
             "__tokens": tokens(text_col),
             "__topic": topic(text_col),
-            **{f"__{a}": F.when(name(c).isin(named[a]), name(c)).otherwise(OTHER) for a, c in of.items()},
+            "__s": value(name(source_col), source_targets),
+            "__l": value(name(lang_col), lang_targets),
         }
     )
     out = keyed.join(lookup, ["__s", "__l", "__topic"], "left").drop("__s", "__l")

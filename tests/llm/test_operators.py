@@ -350,3 +350,15 @@ def test_topic_reads_the_whole_text(spark):
     texts = ["LICENSE\n" + far, far + "licensed " + far, far + "license", far]
     rows = mix(spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
     assert got(rows, "doc_id", "__topic") == collections.Counter([(0, "notice"), (1, "notice"), (2, "notice"), (3, "prose")])
+
+
+def test_every_source_is_raked(spark):
+    """300 sources, each with its own share: none is lumped with others, on the driver or as a table."""
+    many = spark.range(300).selectExpr("id as doc_id", "repeat('a ', cast(id + 1 as int)) as text", "concat('s', id) as source", "if(id % 2 = 0, 'en', 'de') as lang")
+    weights = [{r["source"]: (r["__weight"], r["__probability"]) for r in mix(many, temper=0.5, **k).collect()} for k in ({}, {"local_cells": 0})]
+    assert len({round(w, 9) for w, _ in weights[0].values()}) == 300
+    for s, found in weights[0].items():
+        assert weights[1][s] == pytest.approx(found, rel=1e-6)
+    given = {"source_targets": {"s10": 0.5, "s20": 0.25, "(other)": 0.25}, "topic_targets": {"prose": 1.0}}
+    local, table = [sorted((r["doc_id"], round(r["__weight"], 6)) for r in mix(many, **given, **k).collect()) for k in ({}, {"local_cells": 0})]
+    assert local == table
