@@ -362,3 +362,15 @@ def test_every_source_is_raked(spark):
     given = {"source_targets": {"s10": 0.5, "s20": 0.25, "(other)": 0.25}, "topic_targets": {"prose": 1.0}}
     local, table = [sorted((r["doc_id"], round(r["__weight"], 6)) for r in mix(many, **given, **k).collect()) for k in ({}, {"local_cells": 0})]
     assert local == table
+
+
+def test_lm_knows_contexts_of_every_frequent_word(spark):
+    """200 word pairs, all of one form: the second word is likely only after its own first word."""
+    rng = np.random.default_rng(9)
+    text = lambda ks: " ".join(f"aa{k:03d}x bb{k:03d}x" for k in ks)
+    right = [(k, text(rng.integers(0, 200, 100).tolist())) for k in range(400)]
+    probe = [int(k) for k in rng.integers(0, 200, 100)]
+    swapped = " ".join(f"aa{k:03d}x bb{(k + 77) % 200:03d}x" for k in probe)
+    rows = spark.createDataFrame([*right, (1000, text(probe)), (1001, swapped)], "doc_id long, text string").repartition(2)
+    score = {r["doc_id"]: r["score"] for r in lm_score(rows, held=F.col("doc_id") >= 1000).collect()}
+    assert score[1000] > score[1001] + 50
