@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text, as the set of its words; a template is a known notice with a label.  A block
-matches when it holds at least ``containment`` of the template's words.  The join is exact:
+A block is a line of a text, or a run of as many consecutive words as the template has, wherever the lines break;
+a template is a known notice with a label.  A block matches when it holds at least ``containment`` of the template's
+words.  A match is placed at the line of its first shared word.  The join is exact:
 
 * words are ordered by how many blocks of the whole corpus hold them, the rarest first;
 * prefix filter: of a template with n words that needs r of them, a matching block holds one of the first
@@ -10,6 +11,8 @@ matches when it holds at least ``containment`` of the template's words.  The joi
 * positional filter: if the first shared word is at place p (from 0), at most n - p words can be shared;
 * what is left is verified by counting the shared words.
 
+A run that matches holds a prefix word too, so runs are tried around the prefix words of the whole text only.
+
 The counts and the index are as large as the templates, not the corpus, and everything else is expressions on
 the rows.  Beside the join, fixed phrases are found as consecutive words of the whole text.
 
@@ -60,6 +63,11 @@ def block_words(c: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
+    return sorted(set(template_run(text)))
+
+
+def template_run(text: str) -> list[str]:
+    """The words of a template in order."""
     out, word = [], ""
     for ch in text.lower() + " ":
         if ch.isalnum():
@@ -67,7 +75,7 @@ def template_words(text: str) -> list[str]:
         elif word:
             out.append(word)
             word = ""
-    return sorted(set(out))
+    return out
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -91,7 +99,10 @@ def similarity_join(
     containment: float = 0.8,
     text_col: str = "text",
 ) -> DataFrame:
-    """Every (document, block, template) at or over the threshold: the id columns, block, template, label, shared, score."""
+    """Every (document, block, template) at or over the threshold: the id columns, block, template, label, shared, score.
+
+    Rows of ``docs`` with the same id columns are told apart by their text only.
+    """
     spark = docs.sparkSession
     sets = [(k, label, template_words(text)) for k, (label, text) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
@@ -123,12 +134,54 @@ def similarity_join(
     shared = F.size(F.array_intersect("ws", "words"))
     # a pair is met once for each shared prefix word: the first of them in the global order speaks for it
     first = F.array_min(F.transform(F.array_intersect("words", "ws"), lambda w: F.array_position("words", w)))
-    return (
+    lines = (
         candidates.filter(F.col("place") + 1 == first)
         .withColumn("shared", shared)
         .filter(F.col("shared") >= F.col("need"))
-        .select(*id_columns, "block", "template", "label", "shared", (F.col("shared") / F.col("n")).alias("score"))
+        .select(*id_columns, "block", "template", "label", "shared", "n")
+    )
+    lengths = {k: len(template_run(text)) for k, (_, text) in enumerate(templates)}
+    found = lines.unionByName(_runs(docs, id_columns, lookup, lengths, prefixes, text_col)) if prefixes else lines
+    # a line and a run, or several runs, may say the same
+    one = found.groupBy(*id_columns, "block", "template", "label", "n").agg(F.max("shared").alias("shared"))
+    return one.select(*id_columns, "block", "template", "label", "shared", (F.col("shared") / F.col("n")).alias("score"))
+
+
+def _runs(docs: DataFrame, id_columns: Sequence[str], lookup: DataFrame, lengths: Mapping[int, int], prefixes: Sequence[str], text_col: str) -> DataFrame:
+    """Matching runs of words that go over a line break."""
+    most = max(lengths.values())
+    text = text_of(text_col)
+    some = F.contains(text, F.lit("\n")) & text.rlike("(?i)" + "|".join(sorted(prefixes, key=len)))
+    line_words = F.transform(F.split(text, "\n"), lambda line, b: F.transform(block_words(line), lambda w: F.struct(w.alias("w"), b.alias("b"))))
+    # around each prefix word, the words that a run with it may hold, if there is a line break among them
+    words = let(
+        F.flatten(line_words),
+        lambda ws: F.filter(
+            F.transform(
+                F.filter(F.transform(ws, lambda x, i: F.struct(x["w"].alias("word"), i.alias("i"))), lambda x: x["word"].isin(list(prefixes))),
+                lambda x: F.struct(
+                    x["word"].alias("word"),
+                    F.least(x["i"], F.lit(most - 1)).alias("at"),
+                    F.slice(ws, F.greatest(x["i"] - most + 2, F.lit(1)), F.lit(2 * most - 1)).alias("near"),
+                ),
+            ),
+            lambda x: F.element_at(x["near"], 1)["b"] < F.element_at(x["near"], -1)["b"],
+        ),
+    )
+    hits = docs.filter(some).select(*id_columns, F.explode(words).alias("hit")).select(*id_columns, "hit.*")
+    length = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("template"))
+    near = (
+        hits.join(lookup, "word")
+        .withColumn("length", length)
+        .withColumn("start", F.explode(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at"))))
+        .withColumn("run", F.slice("near", F.col("start") + 1, F.col("length")))
+        .withColumn("own", F.filter("run", lambda x: F.array_contains("words", x["w"])))
+        # a run starts at a word of the template; one within a line is a part of the line
+        .filter((F.element_at("run", 1)["w"] == F.element_at("own", 1)["w"]) & (F.element_at("own", 1)["b"] < F.element_at("own", -1)["b"]))
+        .withColumn("shared", F.size(F.array_distinct(F.col("own.w"))))
+        .filter(F.col("shared") >= F.col("need"))
     )
+    return near.select(*id_columns, F.element_at("own", 1)["b"].alias("block"), "template", "label", "shared", "n")
 
 
 def _phrase_places(w: Column, phrases: Mapping[str, str]) -> Column:

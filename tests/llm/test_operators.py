@@ -374,3 +374,13 @@ def test_lm_knows_contexts_of_every_frequent_word(spark):
     rows = spark.createDataFrame([*right, (1000, text(probe)), (1001, swapped)], "doc_id long, text string").repartition(2)
     score = {r["doc_id"]: r["score"] for r in lm_score(rows, held=F.col("doc_id") >= 1000).collect()}
     assert score[1000] > score[1001] + 50
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    """Notices wrapped over lines, with comment signs and text around them."""
+    apache = "# some code\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an AS IS BASIS,\n# more"
+    permission = "first line\n" * 40 + "Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files (the Software)"
+    apart = "All is well.\n" + "some words of no matter " * 9 + "\nrights\n" + "some words of no matter " * 9 + "\nreserved"
+    rows = spark.createDataFrame([(0, apache), (1, permission), (2, apart), (3, "All\nrights\n\nreserved")], "doc_id long, text string")
+    assert got(license_scan(rows), "doc_id", "labels", "score", "n_blocks") == collections.Counter([(0, "apache", 1.0, 1), (1, "mit", 1.0, 1), (2, "", 0.0, 0), (3, "reserved", 1.0, 1)])
+    assert got(similarity_join(rows, ("doc_id",)), "doc_id", "block") == collections.Counter([(0, 1), (1, 40), (3, 0)])
