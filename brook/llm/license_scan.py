@@ -2,7 +2,7 @@
 
 A block is a line of a text, or a run of as many consecutive words as the template has, wherever the lines break;
 a template is a known notice with a label.  A block matches when it holds at least ``containment`` of the template's
-words.  A match is placed at the line of its first shared word.  The join is exact:
+words, or all of them if the template is short.  A match is placed at the line of its first shared word.  The join is exact:
 
 * words are ordered by how many blocks of the whole corpus hold them, the rarest first;
 * prefix filter: of a template with n words that needs r of them, a matching block holds one of the first
@@ -55,6 +55,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
 )
+#: Templates of fewer words are met whole or not at all: one other word may be another licence.
+SHORT = 10
 
 
 def block_words(c: Column) -> Column:
@@ -110,7 +112,7 @@ def similarity_join(
     index = []
     for k, label, ws in sets:
         ws = sorted(ws, key=lambda w: (seen.get(w, 0), w))
-        need = ceil(containment * len(ws) - 1e-9)
+        need = len(ws) if len(ws) < SHORT else ceil(containment * len(ws) - 1e-9)
         index += [(w, k, label, place, len(ws), need, ws) for place, w in enumerate(ws[: len(ws) - need + 1])]
     schema = "word string, template int, label string, place int, n int, need int, words array<string>"
     prefixes = sorted({x[0] for x in index})

@@ -384,3 +384,8 @@ def test_license_scan_of_wrapped_notices(spark):
     rows = spark.createDataFrame([(0, apache), (1, permission), (2, apart), (3, "All\nrights\n\nreserved")], "doc_id long, text string")
     assert got(license_scan(rows), "doc_id", "labels", "score", "n_blocks") == collections.Counter([(0, "apache", 1.0, 1), (1, "mit", 1.0, 1), (2, "", 0.0, 0), (3, "reserved", 1.0, 1)])
     assert got(similarity_join(rows, ("doc_id",)), "doc_id", "block") == collections.Counter([(0, 1), (1, 40), (3, 0)])
+
+
+def test_short_templates_are_met_whole(spark):
+    rows = spark.createDataFrame([(0, "Released under the Apache License"), (1, "Licensed under CC BY 4.0"), (2, "Licensed under CC BY-NC 4.0")], "doc_id long, text string")
+    assert got(license_scan(rows), "doc_id", "labels") == collections.Counter([(0, "apache"), (1, "cc-by"), (2, "cc-by,cc-by-nc")])
