@@ -25,7 +25,7 @@ def run_all(
         if isinstance(statement, Setting):
             own = own.with_value(statement.name, statement.value)
         elif isinstance(statement, Query):
-            out.append(Lowering(spark, catalog, own, dict(tables or {})).query(statement))
+            out.append(Lowering(spark, catalog, own, tables).rows(statement))
     return out
 
 
@@ -37,8 +37,15 @@ def run(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None =
     return found[-1]
 
 
-def run_json(spark: SparkSession, spec: str | list, tables: Mapping[str, DataFrame] | None = None, **options: Any) -> DataFrame:
-    """A query as JSON: [{"name": ..., "from": ..., "transforms": ["where ...", {"type": "limit", "value": 3}], "set_operation": ...}]."""
+def run_json(spark: SparkSession, spec: str | list | dict, tables: Mapping[str, DataFrame] | None = None, **options: Any) -> DataFrame:
+    """A query as JSON (see ``brook.lang.visual``)."""
     from .lang.visual import to_text
 
     return run(spark, to_text(json.loads(spec) if isinstance(spec, str) else spec), tables, **options)
+
+
+def as_json(text: str) -> list[dict]:
+    """The query of ``text`` in the form that ``run_json`` reads."""
+    from .lang.visual import to_json
+
+    return to_json(text)

@@ -232,6 +232,7 @@ class Join(Step):
     source: Source
     on: Node | None = None
     on_column: str | None = None
+    using: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

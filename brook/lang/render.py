@@ -193,7 +193,7 @@ def call(n: Call, c: Context) -> str:
     if name in RANKS:
         return f"{name}({', '.join(args)}) {window(over, c, '', name in ORDER_MATTERS, name)}"
     if n.over is not None and (n.distinct or name == "uniq") and name in ("count", "uniq"):
-        return f"size(collect_set({args[0]}) {window(over, c)})"  # Spark has no distinct windows
+        return distinct_over(n, args[0], over, c)
     out = plain(n, name, args, c)
     if n.where is not None:
         out += f" FILTER (WHERE {render(n.where, c)})"
@@ -202,6 +202,18 @@ def call(n: Call, c: Context) -> str:
     return out
 
 
+def distinct_over(n: Call, x: str, over: Over, c: Context) -> str:
+    """Distinct values of a window, which Spark has not: the ranks from both ends add up to them."""
+    if n.where is not None:
+        x = f"CASE WHEN {render(n.where, c)} THEN {x} END"
+    if over.order or over.frame:
+        return f"CAST(size(collect_set({x}) {window(over, c)}) AS BIGINT)"
+    by = f"PARTITION BY {', '.join(render(p, c) for p in over.partition)} " if over.partition else ""
+    ends = " + ".join(f"dense_rank() OVER ({by}ORDER BY {x} {way})" for way in ("ASC", "DESC"))
+    nulls = f"max(CASE WHEN {x} IS NULL THEN 1 ELSE 0 END) OVER ({by.strip()})"
+    return f"CAST({ends} - 1 - {nulls} AS BIGINT)"
+
+
 def framed(n: Call, head: str, f: str, args: list[str], over: Over, c: Context) -> str:
     frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     if head == "rolling" and len(n.args) > 1 and isinstance(n.args[1], Lit) and str(n.args[1].value).isdigit():

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,9 +25,6 @@ from ..lang.parser import has_aggregate
 from ..lang.render import Context, is_frame_function, quoted, render, sort_text
 from .naming import named
 
-#: Rows and levels that a recursion may reach.
-RECURSION_ROWS = "-1"
-
 
 @dataclass
 class Stage:
@@ -39,6 +37,7 @@ class Stage:
     conditions: tuple[Node, ...] = ()  # filters on the rows of this stage
     pending: Group | None = None
     grouped: tuple[DataFrame, list[tuple[Node, str]], list[tuple[Node, str]]] | None = None  # input with keys, keys, aggregates
+    spine: tuple = ()  # which keys of the groups are filled, and the filters that bound them
 
     def then(self, df: DataFrame, **changes) -> Stage:
         return replace(self, df=df, **{"grouped": None, **changes})
@@ -49,10 +48,12 @@ class Stage:
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, catalog: Catalog, settings: Settings, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog, settings: Settings, tables: Mapping[str, DataFrame] | None = None):
         self.spark, self.catalog, self.settings = spark, catalog, settings
-        self.tables = {k.lower(): v for k, v in (tables or {}).items()}
+        self.given = tables or {}
+        self.tables = {k.lower(): k for k in self.given}
         self.stashed: dict[str, DataFrame] = {}
+        self.views: list[str] = []
 
     # tables -----------------------------------------------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ class Lowering:
         if low in self.stashed:
             return self.stashed[low]
         if low in self.tables:
-            df = self.tables[low]
+            df = self.given[self.tables[low]]
         elif self.spark.catalog.tableExists(name):
             df = self.spark.table(name)
         else:
@@ -77,6 +78,7 @@ class Lowering:
     def view(self, df: DataFrame) -> str:
         name = f"brook_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(name)
+        self.views.append(name)
         return name
 
     # rendering --------------------------------------------------------------------------------------------------
@@ -166,6 +168,15 @@ class Lowering:
         return [(name.lower(), n) for n, name in ((s.grouped[1] + s.grouped[2]) if s.grouped else [])]
 
     # queries ----------------------------------------------------------------------------------------------------
+    def rows(self, q: Query) -> DataFrame:
+        """The rows of a statement.  Its plan is analysed by then, so the views that nested queries went through can go."""
+        try:
+            return self.query(q)
+        finally:
+            for name in self.views:
+                self.spark.catalog.dropTempView(name)
+            self.views.clear()
+
     def query(self, q: Query) -> DataFrame:
         out: DataFrame | None = None
         kept = dict(self.stashed)
@@ -363,6 +374,15 @@ class Lowering:
         if step.kind == "cross" or step.on is not None:
             return step.on
         alias = step.source.alias
+        if step.using:
+            out: Node | None = None
+            for c in step.using:
+                left = next((a for a, cols in s.columns.items() if c.lower() in {x.lower() for x in cols}), None)
+                if left is None:
+                    raise ResolutionProblem(f"no column {c} to join on")
+                one = Op("=", (Col((left, c)), Col((alias, c))))
+                out = one if out is None else Op("and", (out, one))
+            return out
         if step.on_column:
             c, t = step.on_column, self.catalog.table(right)
             key = (t and t.key()) or "id"
@@ -389,16 +409,28 @@ class Lowering:
         if alias in s.tables:
             raise PlanProblem(f"two tables are called {alias}; give one another name with as")
         condition = self.join_condition(s, step, table)
+        if step.using:
+            return self.join_using(s, step, df, table)
         after = replace(s, tables={**s.tables, alias: table}, columns={**s.columns, alias: df.columns}, grouped=None)
         if condition is None:
             return replace(after, df=s.df.crossJoin(df))
         both = Context(aliases=frozenset(a.lower() for a in after.columns), columns=frozenset(), week_start=self.settings.week_start)
         return replace(after, df=s.df.join(df, F.expr(render(condition, both)), step.kind))
 
+    def join_using(self, s: Stage, step: Join, df: DataFrame, table: str) -> Stage:
+        """The columns in ``using`` are there once; in a right or full join the tables behind them have no names any more."""
+        out = s.df.join(df, list(step.using), step.kind)
+        if step.kind in ("right", "full"):
+            return s.closed(out)
+        named_ = {c.lower() for c in step.using}
+        own = [c for c in df.columns if c.lower() not in named_]
+        return replace(s, df=out, tables={**s.tables, step.source.alias: table}, columns={**s.columns, step.source.alias: own}, grouped=None)
+
     # groups -----------------------------------------------------------------------------------------------------
     def do_group(self, s: Stage, step: Group) -> Stage:
         from . import spine
 
+        s = replace(s, spine=())
         if any(step.spined):
             if step.mode:
                 warnings.warn("a spine has no meaning with rollup, cube or grouping sets; it is left out", stacklevel=2)
@@ -422,6 +454,12 @@ class Lowering:
         return s.df.select("*", *[self.col(n, s).alias(f"__k{k}") for k, (n, _) in enumerate(keys)]), keys, names
 
     def aggregate(self, s: Stage, source: DataFrame, keys: list[tuple[Node, str]], aggs: list[tuple[Node, str]], mode: str = "", sets=()) -> DataFrame:
+        if s.spine:
+            from .spine import filled
+
+            df = filled(self, s, source, keys, aggs)
+            names = {name.lower() for _, name in aggs}
+            return df.select(*[F.col(f"__k{k}").alias(name) for k, (_, name) in enumerate(keys) if name.lower() not in names], *[F.col(quoted(name)) for _, name in aggs])
         at = replace(s, df=source)
         inner = {n: Col((f"__k{k}",)) for k, (n, _) in enumerate(keys)}
         plain = {n.name.lower(): v for n, v in inner.items() if isinstance(n, Col)}
@@ -569,13 +607,9 @@ class Lowering:
         rows, _ = self.source(first.source)
         a, b = self.view(s.df), self.view(rows)
         key = quoted(step.key)
-        for name, least in (("spark.sql.cteRecursionLevelLimit", step.depth + 1),):
-            if int(self.spark.conf.get(name)) < least:
-                self.spark.conf.set(name, str(least))
-        self.spark.conf.set("spark.sql.cteRecursionRowLimit", RECURSION_ROWS)
         df = self.spark.sql(
-            f"WITH RECURSIVE r AS (SELECT *, 1 AS _level FROM {a} UNION ALL "
-            f"SELECT t.*, r._level + 1 FROM {b} AS t JOIN r ON t.{key} = r.id WHERE r._level < {step.depth}) SELECT * FROM r"
+            f"WITH RECURSIVE r MAX RECURSION LEVEL {step.depth + 1} AS (SELECT *, 1 AS _level FROM {a} UNION ALL "
+            f"SELECT t.*, r._level + 1 FROM {b} AS t JOIN r ON t.{key} = r.id WHERE r._level < {step.depth}) SELECT * FROM r LIMIT ALL"
         )
         return s.closed(df)
 

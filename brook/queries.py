@@ -63,7 +63,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "src_select_first": ("select o_orderpriority, count(*) as n from orders where o_totalprice > 1000 group by o_orderpriority having count(*) > 1 order by -n", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 HAVING count(*) > 1"),
     "src_pipe": ("from nation | where n_regionkey = 1 |> select n_name", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
     "src_multi": ("set week_start = 'sunday'; from region; from nation select n_name", "SELECT n_name FROM nation"),
-    "proj_select": ("from customer select c_custkey as id, c_acctbal * 2 as twice select id where id < 50", "SELECT c_custkey AS id FROM customer WHERE c_custkey < 50"),
+    "proj_select": ("from customer select c_custkey as id, c_acctbal * 2 as twice where twice > 8000 select id", "SELECT c_custkey AS id FROM customer WHERE c_acctbal * 2 > 8000"),
     "proj_star_override": ("from region select *, upper(r_name) as r_name", "SELECT r_regionkey, upper(r_name) AS r_name FROM region"),
     "proj_alias_reuse": ("from lineitem select l_extendedprice * (1 - l_discount) as net, net * (1 + l_tax) as gross select round(sum(net), 0) as net, round(sum(gross), 0) as gross", "SELECT round(sum(l_extendedprice * (1 - l_discount)), 0) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 0) AS gross FROM lineitem"),
     "proj_extend": ("from nation extend length(n_name) as len", "SELECT *, length(n_name) AS len FROM nation"),
@@ -84,12 +84,16 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "join_inner": ("from orders & customer on orders.o_custkey = customer.c_custkey group by customer.c_mktsegment (# as n)", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "join_left": ("from customer &? orders on customer.c_custkey = orders.o_custkey and orders.o_totalprice > 400000 select c_custkey, o_orderkey", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000"),
     "join_right": ("from orders where o_totalprice > 350000 ?& customer on orders.o_custkey = customer.c_custkey select c_custkey, o_orderkey", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 350000) o RIGHT JOIN customer ON o_custkey = c_custkey"),
-    "join_full": ("from supplier where s_suppkey < 20 ?&? nation on supplier.s_nationkey = nation.n_nationkey select s_suppkey, n_nationkey", "SELECT s_suppkey, n_nationkey FROM (SELECT * FROM supplier WHERE s_suppkey < 20) s FULL JOIN nation ON s_nationkey = n_nationkey"),
+    "join_full": ("from supplier where s_acctbal > 0 ?&? nation on supplier.s_nationkey = nation.n_nationkey select s_suppkey, n_nationkey", "SELECT s_suppkey, n_nationkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN nation ON s_nationkey = n_nationkey"),
     "join_cross": ("from region\n* nation\nselect r_name, n_name", "SELECT r_name, n_name FROM region, nation"),
     "join_theta": ("from nation as a & nation as b on a.n_nationkey < b.n_nationkey and a.n_regionkey = b.n_regionkey select a.n_name as x, b.n_name as y", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
     "join_fk_shorthand": ("from orders & customer on o_custkey select o_orderkey, c_name", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "join_infer": ("from orders & customer & nation & region group by region.r_name (# as n)", "SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "join_self": ("from nation as a &? nation as b on a.n_regionkey = b.n_nationkey select a.n_name as child, b.n_name as parent", "SELECT a.n_name AS child, b.n_name AS parent FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_nationkey"),
+    "join_comma": ("from nation, region where nation.n_regionkey = region.r_regionkey and region.r_name != 'ASIA' select n_name, r_name", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'"),
+    "join_using": ("from documents join labels using (doc_id) group by lang (# as n, sum(toxic) as t)", "SELECT lang, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS t FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
+    "join_using_left": ("from documents left join labels using (doc_id) select doc_id, quality", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)"),
+    "join_sql": ("from orders join customer on orders.o_custkey = customer.c_custkey where customer.c_acctbal > 9000 select o_orderkey", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000"),
     # groups
     "agg_block": ("from orders where o_orderstatus = \"F\" group by o_orderpriority (# as n, round(sum(o_totalprice), 0) as rev) order by -rev limit 10", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 0) AS rev FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY rev DESC LIMIT 10"),
     "agg_bare": ("from orders group by o_orderstatus select o_orderstatus, round(avg(o_totalprice), 2) as a", "SELECT o_orderstatus, round(avg(o_totalprice), 2) AS a FROM orders GROUP BY 1"),
@@ -120,30 +124,50 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "win_first_over": ("from part select p_partkey, first(p_name order by p_partkey) over p_brand as f", "SELECT p_partkey, first_value(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS f FROM part"),
     "win_explicit": ("from orders select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as r, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as n", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM orders"),
     "win_over_short": ("from nation select n_name, count(*) over n_regionkey as n", "SELECT n_name, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation"),
+    "win_named": ("from part select p_partkey, sum(p_size) over w as s, row_number() over (w order by p_partkey desc) as r window w as (partition by p_brand order by p_partkey rows between unbounded preceding and current row)", "SELECT p_partkey, CAST(sum(p_size) OVER w AS BIGINT) AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS r FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+    "win_rank_global": ("from part rank by -p_size as r select p_partkey, r", "SELECT p_partkey, rank() OVER (ORDER BY p_size DESC) AS r FROM part"),
+    "win_dense_global": ("from part dense rank by p_size as r select p_partkey, r", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_size) AS r FROM part"),
+    "win_last_over": ("from part select p_partkey, last(p_name order by p_partkey) over p_brand as f", "SELECT p_partkey, last_value(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM part"),
+    "win_argmax": ("from part select p_partkey, arg_max(p_name, p_partkey) over p_brand as a", "SELECT p_partkey, arg_max(p_name, p_partkey) OVER (PARTITION BY p_brand) AS a FROM part"),
+    "win_rank_funcs": ("from part select p_partkey, ntile(4) over (partition by p_brand order by p_partkey) as q, round(percent_rank() over (partition by p_brand order by p_size), 6) as p, round(cume_dist() over (partition by p_brand order by p_size), 6) as c, nth_value(p_name, 2) over (partition by p_brand order by p_partkey) as n", "SELECT p_partkey, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS q, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c, nth_value(p_name, 2) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)"),
+    "win_distinct": ("from part select p_partkey, count(distinct p_size) over p_brand as d", "SELECT p_partkey, count(DISTINCT p_size) OVER (PARTITION BY p_brand) AS d FROM part"),
     # order, paging, samples
     "sort_order": ("from orders order by -o_totalprice, o_orderkey limit 20 select o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
     "limit_offset": ("from nation order by n_nationkey offset 5 limit 7", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 7 OFFSET 5"),
     "topk": ("from part group by p_brand (sum(p_size) as s) order by -s, p_brand take 5", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY 1 ORDER BY s DESC, p_brand LIMIT 5"),
     "topk_group": ("from part qualify row_number() over (partition by p_brand order by p_partkey) <= 3 select p_partkey", "SELECT p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3"),
-    "sample_n": ("from events sample 100", None),
-    "sample_pct": ("from events sample 10%", None),
-    "sample_strat": ("from events sample 3 per event_type", None),
+    "sample_n": ("from events sample 100 select # as n", "SELECT least(100, count(*)) AS n FROM events"),
+    "sample_pct": ("from events sample 10% select # > 0 as some", "SELECT true AS some"),
+    "sample_strat": ("from events sample 3 per event_type group by event_type (# as n)", "SELECT event_type, least(3, count(*)) AS n FROM events GROUP BY 1"),
     # set operations
     "set_union_all": ("from nation select n_name as name union all from region select r_name as name", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
     "set_union": ("from customer select c_nationkey as k union from supplier select s_nationkey as k", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "set_intersect": ("from customer select c_custkey as k intersect from orders select o_custkey as k", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders"),
-    "set_except": ("from customer select c_custkey as k except from orders select o_custkey as k", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "set_except": ("from part select p_size as k except from nation select n_nationkey as k", "SELECT p_size AS k FROM part EXCEPT SELECT n_nationkey FROM nation"),
     "set_by_name": ("from nation select n_name as a, n_nationkey as b union all by name from region select r_regionkey as b, r_name as a", "SELECT n_name AS a, n_nationkey AS b FROM nation UNION ALL SELECT r_name, r_regionkey FROM region"),
+    "set_intersect_all": ("from customer select c_nationkey as k intersect all from supplier select s_nationkey as k", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
+    "set_except_all": ("from customer select c_nationkey as k except all from supplier select s_nationkey as k", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "set_corresponding": ("from nation select n_name as a, n_regionkey as b union corresponding from region select r_regionkey as b, r_name as a", "SELECT n_name AS a, n_regionkey AS b FROM nation UNION SELECT r_name, r_regionkey FROM region"),
     # shapes
     "pivot_static": ("from orders select o_custkey, o_orderstatus, o_orderkey pivot count(o_orderkey) by o_orderstatus values ('F', 'O', 'P')", "SELECT o_custkey, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1"),
     "pivot_group": ("from orders pivot max(o_orderkey) by o_orderstatus values ('F' as f, 'O' as o) group by o_orderpriority", "SELECT o_orderpriority, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY 1"),
-    "pivot_dynamic": ("from region pivot max(r_regionkey) by r_name", None),
+    "pivot_dynamic": ("from orders select o_custkey, o_orderstatus, o_orderkey pivot max(o_orderkey) by o_orderstatus", "SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O, max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1"),
     "unpivot": ("from part select p_partkey, p_brand, p_type unpivot p_brand, p_type into kind, value", "SELECT p_partkey, 'p_brand' AS kind, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part"),
-    "col_explode": ("from embeddings where vec_id < 20 explode embedding as x group by vec_id (# as n, round(sum(x), 3) as s)", "SELECT vec_id, count(*) AS n, round(sum(x), 3) AS s FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 20) GROUP BY 1"),
+    "col_explode": ("from embeddings explode embedding as x group by vec_id (# as n, round(sum(x), 3) as s)", "SELECT vec_id, count(*) AS n, round(sum(x), 3) AS s FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1"),
     "recurse": ("from nation select n_nationkey as id, n_regionkey, n_name stash as tree from tree where id = 0 recurse(n_regionkey, 3)", "WITH RECURSIVE r AS (SELECT n_nationkey AS id, n_regionkey, n_name, 1 AS _level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey, n.n_name, r._level + 1 FROM nation n JOIN r ON n.n_regionkey = r.id WHERE r._level < 3) SELECT * FROM r"),
     "stash": ("from orders group by o_custkey (# as n) stash as per_customer from per_customer group by n (# as customers)", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1"),
-    "list_comp": ("from embeddings where vec_id < 50 select vec_id, array_length([v for v in embedding if v > 0]) as pos", "SELECT vec_id, len(list_filter(embedding, lambda v: v > 0)) AS pos FROM embeddings WHERE vec_id < 50"),
+    "list_comp": ("from embeddings select vec_id, array_length([v for v in embedding if v > 0]) as pos", "SELECT vec_id, len(list_filter(embedding, lambda v: v > 0)) AS pos FROM embeddings"),
+    "pivot_sql": ("from orders select o_custkey, o_orderstatus, o_orderkey pivot (max(o_orderkey) for o_orderstatus in ('F', 'O'))", "SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY 1"),
+    "src_unnest": ("from embeddings select vec_id, embedding explode embedding as x where x > 0.2 select vec_id, round(x::double, 5) as x", "SELECT vec_id, round(x::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 0.2"),
     # expressions
+    "op_null_safe": ("from documents & labels on documents.doc_id = labels.doc_id where documents.lang <=> 'en' select documents.doc_id as d", "SELECT documents.doc_id AS d FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT DISTINCT FROM 'en'"),
+    "fn_cond": ("from part select p_partkey, nullif(p_size, 10) as a, if(p_size > 25, 'x', 'y') as b, coalesce(nullif(p_size, 10), 0) as c", "SELECT p_partkey, nullif(p_size, 10) AS a, if(p_size > 25, 'x', 'y') AS b, coalesce(nullif(p_size, 10), 0) AS c FROM part"),
+    "fn_array": ("from embeddings select vec_id, array_length(embedding) as n, embedding[1] > embedding[2] as g, array_max(embedding) as m", "SELECT vec_id, len(embedding) AS n, embedding[1] > embedding[2] AS g, list_max(embedding) AS m FROM embeddings"),
+    "fn_type": ("from part select typeof(p_name) as a, typeof(p_size) as b distinct", "SELECT 'string' AS a, 'int' AS b FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM part)"),
+    "fn_json": ("from events select event_id, get_json_object(props, '$.k')::int as k", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
+    "fn_safe_divide": ("from part select p_partkey, safe_divide(p_retailprice, p_size - 10) as d", "SELECT p_partkey, p_retailprice / nullif(p_size - 10, 0) AS d FROM part"),
+    "agg_approx": ("from orders select abs(approx_count_distinct(o_custkey) - count(distinct o_custkey)) < 0.2 * count(distinct o_custkey) as close", "SELECT true AS close"),
+    "filter_num_guard": ("from part where p_size >= 3 and p_size < 4.5 select p_partkey", "SELECT p_partkey FROM part WHERE p_size >= 3 AND p_size < 4.5"),
     "op_logic": ("from part where (p_size > 10 && p_size <= 12) or not p_size < 49 select p_partkey", "SELECT p_partkey FROM part WHERE (p_size > 10 AND p_size <= 12) OR NOT p_size < 49"),
     "op_arith": ("from part select p_partkey, p_size / 7 as q, p_size % 7 as r, -p_size as m", "SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS r, -p_size AS m FROM part"),
     "op_coalesce": ("from documents select doc_id, lang ?? 'none' as l", "SELECT doc_id, coalesce(lang, 'none') AS l FROM documents"),
@@ -155,7 +179,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "op_matches": ("from nation where n_name matches '[0-4]$' select n_name", "SELECT n_name FROM nation WHERE regexp_matches(n_name, '[0-4]$')"),
     "op_slice": ("from nation select n_name[1:3] as a, n_name[2:] as b, n_name[:4] as c, n_name[-2:] as d", "SELECT substring(n_name, 1, 3) AS a, substring(n_name, 2) AS b, left(n_name, 4) AS c, right(n_name, 2) AS d FROM nation"),
     "op_concat": ("from nation select n_name || '-' || n_regionkey as a, concat(n_name, null, '!') as b", "SELECT n_name || '-' || n_regionkey AS a, concat(n_name, NULL, '!') AS b FROM nation"),
-    "op_tz": ("from events where event_id < 50 select event_id, ts::PST as p, ts::\"Europe/London\" as l", "SELECT event_id, timezone('America/Los_Angeles', timezone('UTC', ts)) AS p, timezone('Europe/London', timezone('UTC', ts)) AS l FROM events WHERE event_id < 50"),
+    "op_tz": ("from events select event_id, ts::PST as p, ts::\"Europe/London\" as l", "SELECT event_id, timezone('America/Los_Angeles', timezone('UTC', ts)) AS p, timezone('Europe/London', timezone('UTC', ts)) AS l FROM events"),
     "fn_bucket": ("from part group by bucket(p_size, [0, 10, 25, 50]) as b (# as n)", "SELECT CASE WHEN p_size >= 0 AND p_size < 10 THEN '0-10' WHEN p_size >= 10 AND p_size < 25 THEN '10-25' WHEN p_size >= 25 AND p_size <= 50 THEN '25-50' END AS b, count(*) AS n FROM part GROUP BY 1"),
     "fn_key": ("from nation select key(n_nationkey, n_name) as k", "SELECT md5(n_nationkey || '||' || n_name) AS k FROM nation"),
     "fn_slugify": ("from part select p_partkey, slugify(p_name || ' & Co.') as s", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & Co.'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part"),
@@ -177,7 +201,19 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "spine_cross": ("from orders where o_totalprice > 499000 spine by o_orderpriority, year(o_orderdate) as y (# as n)", "WITH o AS (SELECT *, date_trunc('year', o_orderdate) AS y FROM orders WHERE o_totalprice > 499000), p AS (SELECT unnest(generate_series((SELECT min(y) FROM o), (SELECT max(y) FROM o), INTERVAL 1 YEAR)) AS y), k AS (SELECT DISTINCT o_orderpriority FROM o) SELECT k.o_orderpriority, p.y, count(o.o_orderkey) AS n FROM k CROSS JOIN p LEFT JOIN o ON o.y = p.y AND o.o_orderpriority = k.o_orderpriority GROUP BY 1, 2"),
     "spine_nested_units": ("from orders where o_totalprice > 499000 spine by year(o_orderdate) as y, month(o_orderdate) as m (# as n)", "WITH o AS (SELECT *, date_trunc('month', o_orderdate) AS m FROM orders WHERE o_totalprice > 499000), p AS (SELECT unnest(generate_series((SELECT min(m) FROM o), (SELECT max(m) FROM o), INTERVAL 1 MONTH)) AS m) SELECT date_trunc('year', p.m) AS y, p.m, count(o.o_orderkey) AS n FROM p LEFT JOIN o ON o.m = p.m GROUP BY 1, 2"),
     "spine_partial": ("from orders where o_totalprice > 499000 group by spine(year(o_orderdate)) as y, o_orderstatus (# as n)", "WITH o AS (SELECT *, date_trunc('year', o_orderdate) AS y FROM orders WHERE o_totalprice > 499000), p AS (SELECT unnest(generate_series((SELECT min(y) FROM o), (SELECT max(y) FROM o), INTERVAL 1 YEAR)) AS y) SELECT p.y, o.o_orderstatus, count(o.o_orderkey) AS n FROM p LEFT JOIN o ON o.y = p.y GROUP BY 1, 2"),
+    "spine_hour_date_bound": ("from events where ts >= @2024-01-01 where ts < @2024-01-04 spine by hour(ts) as h (# as n, round(sum(value), 4) as s)", "WITH o AS (SELECT *, date_trunc('hour', ts) AS h FROM events WHERE ts >= DATE '2024-01-01' AND ts < DATE '2024-01-04'), p AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03 23:00:00', INTERVAL 1 HOUR)) AS h) SELECT p.h, count(o.event_id) AS n, round(sum(value), 4) AS s FROM p LEFT JOIN o ON o.h = p.h GROUP BY 1"),
+    "spine_tightest": ("from orders where o_orderdate >= @1995-01-01 and o_orderdate >= @1996-01-01 and o_orderdate <= @1996-01-20 and o_orderdate < @1997-01-01 spine by day(o_orderdate) as d (# as n)", "WITH o AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate <= DATE '1996-01-20'), p AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-01-20', INTERVAL 1 DAY)) AS d) SELECT p.d, count(o.o_orderkey) AS n FROM p LEFT JOIN o ON date_trunc('day', o_orderdate) = p.d GROUP BY 1"),
+    "spine_null_key": ("from documents &? labels on documents.doc_id = labels.doc_id spine by labels.quality as q (# as n)", "SELECT quality AS q, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
+    "spine_source": ("from (from orders where o_totalprice > 480000 select o_orderdate as at, o_totalprice as price) as big spine by quarter(at) as q (# as n, max(price) as m)", "WITH o AS (SELECT date_trunc('quarter', o_orderdate) AS q, o_totalprice FROM orders WHERE o_totalprice > 480000), p AS (SELECT unnest(generate_series((SELECT min(q) FROM o), (SELECT max(q) FROM o), INTERVAL 3 MONTH)) AS q) SELECT p.q, count(o_totalprice) AS n, max(o_totalprice) AS m FROM p LEFT JOIN o ON o.q = p.q GROUP BY 1"),
+    "spine_sunday": ("set week_start = 'sunday'; from orders where o_totalprice > 490000 spine by week(o_orderdate) as w (# as n)", "WITH o AS (SELECT date_trunc('week', o_orderdate + INTERVAL 1 DAY) - INTERVAL 1 DAY AS w FROM orders WHERE o_totalprice > 490000), p AS (SELECT unnest(generate_series((SELECT min(w) FROM o), (SELECT max(w) FROM o), INTERVAL 7 DAY)) AS w) SELECT p.w, count(o.w) AS n FROM p LEFT JOIN o ON o.w = p.w GROUP BY 1"),
+    "spine_having": ("from orders where o_totalprice > 490000 spine by year(o_orderdate) as y (# as n) having max(o_totalprice) > 495000 order by -sum(o_totalprice)", "SELECT date_trunc('year', o_orderdate) AS y, count(*) AS n FROM orders WHERE o_totalprice > 490000 GROUP BY 1 HAVING max(o_totalprice) > 495000"),
     # fanout
+    "fan_two_joins": ("from orders & customer on orders.o_custkey = customer.c_custkey & lineitem on orders.o_orderkey = lineitem.l_orderkey group by customer.c_mktsegment (round(sum(orders.o_totalprice), 0) as t, round(sum(lineitem.l_quantity), 0) as q) having sum(lineitem.l_quantity) > 10 order by -sum(orders.o_totalprice)", "SELECT c_mktsegment, round(sum(o_totalprice), 0) AS t, round(sum(q), 0) AS q FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey GROUP BY 1 HAVING sum(q) > 10"),
+    "fan_two_many": ("from part & lineitem as a on part.p_partkey = a.l_partkey &? lineitem as b on part.p_partkey = b.l_partkey group by part.p_brand (round(sum(part.p_retailprice), 2) as price, round(sum(a.l_quantity), 0) as qa, round(sum(b.l_tax), 2) as tb)", "SELECT p_brand, round(sum(p_retailprice), 2) AS price, round(sum(q), 0) AS qa, round(sum(t), 2) AS tb FROM part JOIN (SELECT l_partkey, sum(l_quantity) AS q, sum(l_tax) AS t FROM lineitem GROUP BY 1) l ON p_partkey = l_partkey GROUP BY 1"),
+    "fan_where": ("from orders & lineitem on orders.o_orderkey = lineitem.l_orderkey where lineitem.l_returnflag = 'R' group by orders.o_orderpriority (round(sum(orders.o_totalprice), 0) as t, round(sum(lineitem.l_quantity), 0) as q)", "SELECT o_orderpriority, round(sum(o_totalprice), 0) AS t, round(sum(q), 0) AS q FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o_orderkey = l_orderkey GROUP BY 1"),
+    "fan_select": ("from orders & lineitem on orders.o_orderkey = lineitem.l_orderkey select round(sum(orders.o_totalprice), 0) as t, round(sum(l_quantity), 0) as q", "SELECT round(sum(o_totalprice), 0) AS t, round(sum(q), 0) AS q FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey"),
+    "fan_reverse_chain": ("from lineitem & orders on lineitem.l_orderkey = orders.o_orderkey & customer on orders.o_custkey = customer.c_custkey group by customer.c_mktsegment (round(sum(customer.c_acctbal), 0) as b, round(sum(lineitem.l_quantity), 0) as q)", "SELECT c_mktsegment, round(sum(b), 0) AS b, round(sum(q), 0) AS q FROM (SELECT c_mktsegment, c_custkey, max(c_acctbal) AS b, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1"),
+    "fan_skip": ("from orders & lineitem on orders.o_orderkey = lineitem.l_orderkey group by lineitem.l_returnflag (round(sum(lineitem.l_quantity), 0) as q, max(orders.o_totalprice) as m)", "SELECT l_returnflag, round(sum(l_quantity), 0) AS q, max(o_totalprice) AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
     "fan_preagg": ("from orders & lineitem on orders.o_orderkey = lineitem.l_orderkey group by orders.o_orderpriority (round(sum(orders.o_totalprice), 0) as t, round(sum(lineitem.l_quantity), 0) as q, count(lineitem.l_partkey) as n, round(avg(lineitem.l_quantity), 6) as a)", "SELECT o_orderpriority, round(sum(o_totalprice), 0) AS t, round(sum(q), 0) AS q, CAST(sum(n) AS BIGINT) AS n, round(sum(q) / sum(n), 6) AS a FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey GROUP BY 1"),
     "fan_distinct": ("from orders & lineitem on orders.o_orderkey = lineitem.l_orderkey group by orders.o_orderstatus (count(*) as n, round(sum(orders.o_totalprice), 0) as t)", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 0) AS t FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1"),
     "fan_reverse": ("from lineitem & orders on lineitem.l_orderkey = orders.o_orderkey group by orders.o_orderpriority (round(sum(orders.o_totalprice), 0) as t, round(sum(lineitem.l_quantity), 0) as q, max(orders.o_totalprice) as m)", "SELECT o_orderpriority, round(sum(t), 0) AS t, round(sum(q), 0) AS q, max(t) AS m FROM (SELECT o_orderpriority, l_orderkey, max(o_totalprice) AS t, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1"),
@@ -209,6 +245,7 @@ QUERIES = {name: _query(text, False) for name, (text, _) in PAIRS.items()} | {na
 INTEGERS = {
     "proj_extend": "len", "filter_qualify": "r", "win_per_number": "k", "win_per_rank": "rank", "win_per_dense": "d", "win_number": "k", "win_explicit": "r",
     "list_comp": "pos", "fn_string": "c e", "dt_part": "a b c d", "dt_diff": "d m q y", "q_cohort": "age",
+    "win_named": "r", "win_rank_global": "r", "win_dense_global": "r", "win_rank_funcs": "q", "fn_array": "n",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,33 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", **options: Any)
     return spark.read.format(kind).options(**options).load(path)
 
 
-def tables_in(spark: SparkSession, folder: str, names: Iterable[str], kind: str = "parquet") -> dict[str, DataFrame]:
-    """name -> rows of ``folder/name.kind`` (a file or a folder of files).  Nothing is read yet."""
-    return {n: read(spark, f"{folder}/{n}.{kind}", kind) for n in names}
+class Folder(Mapping):
+    """name -> rows of ``folder/name.kind`` (a file or a folder of files).
+
+    A table is opened, which reads its schema, when a query first names it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, names: Iterable[str], kind: str = "parquet", **options: Any):
+        self.spark, self.folder, self.names, self.kind, self.options = spark, folder, tuple(names), kind, options
+        self.opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.opened:
+            self.opened[name] = read(self.spark, f"{self.folder}/{name}.{self.kind}", self.kind, **self.options)
+        return self.opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def tables_in(spark: SparkSession, folder: str, names: Iterable[str], kind: str = "parquet", **options: Any) -> Folder:
+    """The tables of a folder by name."""
+    return Folder(spark, folder, names, kind, **options)
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: Iterable[str] = (), **options: Any) -> None:

@@ -5,9 +5,12 @@ import warnings
 
 import pytest
 
-from brook import Catalog, run, run_all, run_json
+from brook import Catalog, as_json, run, run_all, run_json
 from brook.errors import BrookError
+from brook.lang.parser import parse
+from brook.lang.visual import to_json, to_text
 from brook.operators import Pipeline
+from brook.queries import PAIRS
 
 D = dt.date
 T = dt.datetime
@@ -75,6 +78,34 @@ def test_fanout_many_to_one(q):
     assert q(reverse + "(count(*) as n)") == [(10, 3)]
 
 
+def test_fanout_over_several_joins(q, spark, tables, schema, caplog):
+    schema.tables["customers"] = type(schema.tables["orders"])("customers", primary_key="customer_id")
+    schema.relationships.append(type(schema.relationships[0])("orders", "customer_id", "customers", "customer_id"))
+    tables["customers"] = spark.createDataFrame([(10, "AL", 1.5), (20, "AK", 2.0)], "customer_id int, state string, credit double")
+    two = "from orders & customers on orders.customer_id = customers.customer_id & order_items on orders.order_id = order_items.order_id "
+    assert q(two + "group by customers.state (sum(orders.shipping_cost) as s)") == [("AL", 12.0)]
+    assert q(two + "group by state (sum(shipping_cost) as s, sum(quantity) as n)") == [("AL", 12.0, 6)]  # tables found by column
+    assert q(two + "select sum(orders.shipping_cost) as s") == [(12.0,)]
+    assert q(two + "where order_items.quantity > 1 group by customers.state (sum(orders.shipping_cost) as s, sum(order_items.quantity) as n)") == [("AL", 5.0, 5)]
+    assert q(two + "group by customers.state (sum(orders.shipping_cost) as s) having sum(order_items.quantity) > 5 order by -max(order_items.quantity)") == [("AL", 12.0)]
+    many = "from orders & order_items as a on orders.order_id = a.order_id & order_items as b on orders.order_id = b.order_id "
+    assert q(many + "group by orders.customer_id (sum(orders.shipping_cost) as s, sum(a.quantity) as x, count(b.item_id) as y)") == [(10, 12.0, 6, 3)]
+    chain = "from order_items & orders on order_items.order_id = orders.order_id & customers on orders.customer_id = customers.customer_id "
+    assert q(chain + "group by customers.state (sum(customers.credit) as c, sum(order_items.quantity) as n)") == [("AL", 1.5, 6)]
+
+    def said(text):
+        caplog.clear()
+        with caplog.at_level("WARNING", "brook.fanout"):
+            q(two + text)
+        return caplog.text
+
+    assert "multiplies rows" in said("group by customers.state (sum(orders.shipping_cost * order_items.quantity) as x, sum(orders.shipping_cost) as s)")
+    assert "multiplies rows" in said("group by order_items.item_id (sum(orders.shipping_cost) as s)")
+    assert "repeats rows of customers" in said("group by customers.state (sum(customers.credit) as c)")
+    assert "COUNT(*)" in said("group by customers.state (count(*) as n)")
+    assert "multiplies rows" not in said("group by customers.state (sum(orders.shipping_cost) as s)")
+
+
 def test_windows_take_the_order_of_the_query(q):
     want = [(D(2024, 1, 1), 10.0, 10, 10.0), (D(2024, 1, 2), 15.0, 30, 15.0), (D(2024, 1, 3), 20.0, 60, 25.0)]
     items = "select d, running_avg(amount) as a, running_sum(amount) as s, rolling_avg(amount, 2) as r"
@@ -95,6 +126,24 @@ def test_spines(q):
     assert q("from stamps where ts >= @2025-01-01 and ts <= @2024-01-01 spine by day(ts) (# as n)") == []
     with pytest.raises(BrookError):
         q("from stamps spine by month(ts), week(ts) (# as n)")
+    # a day without its end still has its last hours, whatever kind of literal says so
+    for bound in ("@2024-01-04", "@2024-01-04T00:00:00", "'2024-01-04'"):
+        got = q(f"from stamps where ts >= @2024-01-03 where ts < {bound} spine by hour(ts) (sum(amount) as s)")
+        assert len(got) == 24 and sum(r[1] or 0 for r in got) == 30
+    assert len(q("from kinds where d > @2024-01-02 and d > @2023-01-01 and d < @2024-01-05 and d <= @2025-01-01 spine by day(d) (# as n)")) == 2
+    assert q("from stamps spine by quarter(ts) (count(distinct amount) as n, collect_list(amount) as l)")[0][1:] == (3, [10, 20, 5])
+    assert sorted(q("from stamps where ts >= @2024-01-01 and ts < @2024-04-01 group by spine(month(ts)) as m, amount (# as n)"), key=str)[-1][1:] == (5, 1)
+    assert q("from stamps where ts > @2030-01-01 spine by month(ts) (# as n)") == []
+
+
+def test_spine_reads_its_source_once(spark, tables):
+    tables["stamps"].write.mode("overwrite").parquet("/tmp/brook-stamps")
+    t = {"stamps": spark.read.parquet("/tmp/brook-stamps")}
+    df = run(spark, "from stamps spine by month(ts) as m, amount (# as n, sum(amount) as s)", t)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan parquet") - 1 <= 1 or "ReusedExchange" in final
 
 
 def test_sunday_weeks(q):
@@ -127,6 +176,16 @@ def test_shapes(q):
     assert sorted(q("from employees where manager_id = null recurse(manager_id, 2) select id")) == [(1,), (2,), (3,)]
 
 
+def test_sql_forms(q):
+    assert q("from users, orders where users.id = orders.order_id and users.id > 1 select name, customer_id order by name") == [("Bob", 10), ("Charlie", 20)]
+    assert sorted(q("from orders join order_items using (order_id) select order_id, item_id")) == [(1, 1), (1, 2), (2, 3)]
+    assert sorted(q("from orders full join order_items using (order_id) select order_id, item_id"), key=str) == [(1, 1), (1, 2), (2, 3), (3, None)]
+    assert q("select sum(amount) over w as s, row_number() over (w order by amount) as r from sales window w as (partition by region) where amount = 100") == [(100, 1)]
+    assert sorted(q("from sales select region, max(amount) over w as m window w as (partition by region)")) == [("North", 100), ("North", 100), ("South", 75)]
+    assert sorted(q("from sales select region, count(distinct amount) over region as n distinct")) == [("North", 2), ("South", 1)]
+    assert q("from arrays select count(distinct a[1]) over () as n distinct") == [(1,)]
+
+
 def test_nested_queries(q):
     assert q("from users where id in (from orders where order_id > 1 select order_id) select id order by id") == [(2,), (3,)]
     assert q("from orders select avg(shipping_cost) as m stash as mean from orders where shipping_cost > (select m from mean) select order_id order by order_id") == [(1,), (2,)]
@@ -140,6 +199,18 @@ def test_several_statements(spark, tables):
 def test_json_and_fluent(spark, tables):
     spec = [{"name": "a", "from": "sales", "transforms": [{"type": "where", "condition": "amount > 60"}, {"type": "group_by", "columns": ["region"], "aggregates": ["# as n"]}]}]
     assert sorted(map(tuple, run_json(spark, spec, tables).collect())) == [("North", 1), ("South", 1)]
+    tree = [
+        {"name": "big", "from": {"table": "sales", "alias": "s"}, "transforms": [{"type": "where", "condition": {"type": "binary_op", "operator": ">", "left": {"type": "column", "name": "amount"}, "right": {"type": "literal", "value": 60, "data_type": "number"}}}]},
+        {"name": None, "from": {"table": "big"}, "transforms": [{"type": "select", "columns": [{"name": "region"}]}], "set_operation": {"type": "union", "all": True}},
+        {"name": None, "from": {"table": "users"}, "transforms": [{"type": "select", "columns": [{"expression": "name", "name": "region"}]}, {"type": "limit", "count": 1}]},
+    ]
+    assert run_json(spark, tree[0] | {"name": None}, tables).count() == 2
+    assert run_json(spark, tree[:2], tables).count() == 2
+    assert "union all" in to_text(tree)
+    text = "from sales where amount > 60 and region != null group by region (sum(amount) as s) order by s desc limit 3"
+    made = as_json(text)
+    assert made[0]["transforms"][0]["condition"]["operator"] == "and" and made[0]["transforms"][1]["aggregates"] == [{"expression": "sum(amount)", "alias": "s"}]
+    assert [tuple(r) for r in run_json(spark, made, tables).collect()] == [tuple(r) for r in run(spark, text, tables).collect()]
     assert Pipeline(tables["sales"]).where("amount > 60").group("region", "sum(amount) as s").order("-s").limit(1).df().first()["s"] == 100
 
 
@@ -166,6 +237,28 @@ def test_rejected(q, text):
         q(text)
 
 
+@pytest.mark.parametrize("name", list(PAIRS))
+def test_json_both_ways(name):
+    text = PAIRS[name][0]
+    if text.startswith("set "):
+        text = text.split(";", 1)[1]
+    assert parse(to_text(to_json(text))) == parse(text)
+
+
+def test_ambiguous_relationships():
+    c = Catalog.from_dict({"tables": {"a": {"columns": ["x", "y"]}, "b": {"columns": ["id"]}}, "relationships": ["a.x -> b.id", "a.y -> b.id"]})
+    with pytest.raises(BrookError):
+        c.infer_join("a", "b")
+
+
+def test_nothing_is_left_in_the_session(q, spark):
+    limits = [spark.conf.get(f"spark.sql.cteRecursion{x}Limit") for x in ("Level", "Row")]
+    q("from users where id in (from orders select order_id)")
+    q("from employees where manager_id = null recurse(manager_id, 300) select id")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("brook_")]
+    assert limits == [spark.conf.get(f"spark.sql.cteRecursion{x}Limit") for x in ("Level", "Row")]
+
+
 def test_ambiguous_outer_join(q):
     with pytest.raises(BrookError):
         q("from orders as a & order_items as b on a.order_id = b.order_id where a.order_id > 1 ?&? users as c on c.id = a.order_id")

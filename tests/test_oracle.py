@@ -43,8 +43,11 @@ def test_query(spark, duck, name):
         assert list(mine.columns)
 
 
-def test_queries_with_rows_only(spark):
-    count = lambda n: queries.QUERIES[n](spark, SF).count()
-    assert count("sample_n") == 100
-    assert 0 < count("sample_pct") < 300
-    assert count("sample_strat") == 15
+def test_samples_have_their_size(spark):
+    from brook import run
+    from brook.sources import tables_in
+
+    t = tables_in(spark, SF, ["events"])
+    assert run(spark, "from events sample 100", t).count() == 100
+    assert 0 < run(spark, "from events sample 10%", t).count() < 300
+    assert list(t.opened) == ["events"]
