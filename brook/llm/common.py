@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,10 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where that setting is absent (tests, a notebook) a temporary folder of this machine is used.
+    Only a session on this machine alone (tests, a notebook) may do without that setting; it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_dir()
     return f"{base.rstrip('/')}/brook-{uuid.uuid4().hex}"
 
@@ -70,3 +73,39 @@ def words(c: Column) -> Column:
     """The words of a text, split at ASCII white space; none for an empty text."""
     t = F.btrim(c, F.lit(WS))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS_RUN))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where ``df`` has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Keys that are looked up by broadcast at most.
+HOT_KEYS = 10_000
+
+
+def hot_from(total: int, least: int = 1000) -> int:
+    """So many rows make a key hot; no more than HOT_KEYS of ``total`` rows' keys can have as many."""
+    return max(least, total // HOT_KEYS + 1)
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, hot: Column, salt: Column) -> DataFrame:
+    """``rows`` with what ``found`` (one row a key) has for a binary key; rows without an entry go.
+
+    Entries for which ``hot`` holds are broadcast: there must be a proven bound on them (see ``hot_from``).  Their rows
+    go on under salted keys, which match nothing, so that no task of the shuffled join gets all rows of a key.
+    """
+    values = [c for c in found.columns if c != key]
+    few = found.filter(hot).select(F.col(key), F.struct(*values).alias("hot_"))
+    rest = found.filter(~hot).select(F.col(key).alias("key_"), F.struct(*values).alias("cold_"))
+    met = rows.join(F.broadcast(few), key, "left")
+    dealt = F.when(F.col("hot_").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.unhex(F.hex(salt))))
+    both = met.withColumn("dealt_", dealt).join(rest, F.col("dealt_") == F.col("key_"), "left")
+    one = F.coalesce("hot_", "cold_")
+    return both.filter(one.isNotNull()).select(*rows.columns, *[one[c].alias(c) for c in values])

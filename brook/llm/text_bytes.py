@@ -66,6 +66,20 @@ def chunks(lengths: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         yield first, len(lengths)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, margin: int, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int, int, bool]]:
+    """Documents in chunks, a long one in pieces that overlap: first document, bytes, ends of documents in them, place of the
+    first byte, own range in the piece, and whether another piece of the same document follows."""
+    for a, b in chunks(np.diff(offsets), limit):
+        first, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - first <= 2 * limit:
+            yield a, data[first:end], offsets[a : b + 1] - first, first, 0, end - first, False
+            continue
+        for s in range(first, end, limit):
+            e = min(s + limit, end)
+            x, y = max(first, s - margin), min(end, e + margin)
+            yield a, data[x:y], np.array([0, y - x]), x, s - x, e - x, e < end
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each word; a word ends where its document does."""
     n = len(data)
@@ -84,14 +98,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 _C = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)]
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each word; one long document is worked on in parts that end between words."""
+    if len(offsets) == 2 and len(data) > 2 * limit:
+        out, at = [], 0
+        while at < len(data):
+            end = at + limit
+            while end < len(data):
+                gap = np.flatnonzero(IS_WS[data[end : end + limit]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end += limit
+            end = min(end, len(data))
+            out.append(word_hashes(data[at:end], np.array([0, 0, end - at]))[0])
+            at = end
+        h = np.concatenate(out)
+        return h, np.zeros(len(h), dtype=np.int64)
+    s, e, doc = word_spans(data, offsets)
+    return mix(span_hash(prefix_hash(data), s, e) + (e - s).astype(np.uint64) * np.uint64(_C[7])), doc
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of the word ``size``-shingles of each document (lower-cased data).
 
     A document with fewer words has its whole word sequence as one shingle; one without words has none.
     """
-    s, e, doc = word_spans(data, offsets)
+    h, doc = word_hashes(data, offsets)
     n_docs = len(offsets) - 1
-    h = mix(span_hash(prefix_hash(data), s, e) + (e - s).astype(np.uint64) * np.uint64(_C[7]))
     count = np.bincount(doc, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(count)])
     m = max(0, len(h) - size + 1)

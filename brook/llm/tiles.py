@@ -73,7 +73,9 @@ def tile_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = f"brook_tiles_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "tile").option("path", shared_dir(spark)).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files and buckets are known to the plan by now
+    return table
 
 
 class Tile:
@@ -129,13 +131,11 @@ def _send(keys_of: Callable[[Tile], np.ndarray], bits: int, digests_of: Callable
             new[1:] = (d[1:] != d[:-1]).any(axis=1)
             d, i = d[new], i[new]
             d_bucket = (d[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            d_cut = np.searchsorted(d_bucket, np.arange((1 << bits) + 1))
+            there = np.union1d(bucket, d_bucket)  # a small part of all buckets of a large corpus
+            cuts = [np.searchsorted(x, there, side=side).tolist() for x in (bucket, d_bucket) for side in ("left", "right")]
             out = []
-            for b in range(1 << bits):
-                own, at = slice(cut[b], cut[b + 1]), slice(d_cut[b], d_cut[b + 1])
-                if cut[b] == cut[b + 1] and d_cut[b] == d_cut[b + 1]:
-                    continue
+            for b, k0, k1, d0, d1 in zip(there.tolist(), *cuts):
+                own, at = slice(k0, k1), slice(d0, d1)
                 keys = (short[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 out.append((b, tile.number, to_planes(np.diff(keys, prepend=np.uint32(0)).astype(np.uint32)), to_planes(counts[own].astype(np.uint32)), d[at].tobytes(), i[at].tobytes()))
             if out:
