@@ -1,26 +1,33 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
-A text is cut into clauses.  Small transducers read the words of a clause from left to right and write symbols:
-INSULT (a known word, or a learned stem with any ending), THREAT (a verb of harm), TARGET (whom it is about),
-NEGATION and REPORT (somebody else's words).  Their composition is one automaton whose states remember a
-target, an open negation (it reaches over a few words) and a report; when an insult or threat is read, the
-state decides the kind of the match.  A clause without a match writes nothing, so isolated words of the other
-kinds do not count.
+A text is cut into clauses and the words of a clause become symbols: INSULT (a known word, or a learned stem with any
+ending), THREAT (a verb of harm), TARGET (whom it is about), NEGATION, REPORT (somebody else's words) and BREAK (a
+preposition, which ends the reach of a target).  Five letter-to-letter transducers read them from left to right, each
+what the one before has written, and are composed into one table of states and symbols:
 
-Weights of the kinds of match are learned by logistic regression from a bounded sample of labelled rows, with
-prior weights they are drawn to; insults and stems are learned from the words that toxic rows of the sample
-have and others have not, and join the given list.
+* ``negation``: an insult within reach of a negation is DENIED, a threat is nothing;
+* ``report``: an insult after a verb of speech is QUOTED, a threat is nothing;
+* ``target``: an insult within reach of an open target is AIMED;
+* ``insult``: any other insult is a SLUR, and a target within reach after it AIMS it;
+* ``threat``: a target within reach after a threat makes it a MENACE.
+
+The outputs have weights.  A slur says nothing alone: it counts from the second one of a text on, so one word on its
+own, whatever stands around it, is never enough; aimed insults and menaces count from the first.
+
+The weights are learned by logistic regression from a bounded sample of labelled rows, with prior weights they are drawn
+to; the offset stays.  Insults and stems are learned from the words that toxic rows of the sample have and others
+hardly ever, and join the given list.
 
 Defined cases: null and empty texts get the score of a text without matches; ids in the labels that have no
-document, null labels and repeated labels do no harm; without labels the priors and the given list are used;
-very long texts are read whole; other columns are ignored.
+document, null labels and repeated labels do no harm; of rows that share an id one is in the sample; without labels the
+priors and the given list are used; very long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 #: Labelled documents read for training at most.
 MAX_LABELLED = 8_000
@@ -38,12 +45,126 @@ THREATS = tuple("kill hurt destroy hang shoot burn töten umbringen tuer frapper
 TARGETS = frozenset("you your yours he she they them him her u ihr du dich euch sie er tu toi vous il elle ils usted tú ellos él ella".split())
 NEGATIONS = frozenset("not no never nobody isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca jamás tampoco".split())
 REPORTS = frozenset("said says called calls quoted wrote writes according allegedly claimed sagte schrieb laut dit écrit selon dijo escribió según".split())
-KINDS = ("plain", "target", "negated", "reported", "threat", "threat_target")
-#: What a match of each kind is worth (per log(1 + count)) before anything is learned, and the offset.
-PRIOR = np.array([3.0, 4.0, 0.3, 0.5, 1.0, 3.0, -3.0])
-REACH = 3
+BREAKS = frozenset("in into at of from with on under behind for im auf aus mit von dans sur avec en sobre con desde".split())
+#: Symbols that words become, and those that transducers write.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, DENIED, QUOTED, AIMED, SLUR, AIMS, MENACE = range(13)
+WORDS, SYMBOLS = 7, 13
+KINDS = ("slur", "aimed", "denied", "quoted", "threat", "menace")
+#: Which outputs each kind counts.
+COUNTED = ((SLUR, AIMED), (AIMED, AIMS), (DENIED,), (QUOTED,), (THREAT,), (MENACE,))
+#: What a match of each kind is worth before anything is learned, and the offset.
+PRIOR = np.array([5.0, 4.0, 0.0, 0.0, 0.3, 4.0])
+OFFSET = -3.0
+#: Words that a negation, a target, and an insult or threat before its target, reach over.
+DENIES, POINTS, WAITS = 3, 5, 2
 CLAUSE = re.compile(r"[.!?;:,|\n\"]+")
-STRIP = ".,!?;:|\"'()[]"
+STRIP = ".,!?;:|\"'()[]#$%&*"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``after[state, symbol]`` and ``writes[state, symbol]``; state 0 begins each clause."""
+
+    after: np.ndarray
+    writes: np.ndarray
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, out = 0, []
+        for x in symbols:
+            out.append(int(self.writes[state, x]))
+            state = int(self.after[state, x])
+        return out
+
+
+def transducer(states: int, rule: Callable[[int, int], tuple[int, int]]) -> Transducer:
+    """From a rule (state, symbol) -> (next state, symbol written)."""
+    made = np.array([[rule(q, x) for x in range(SYMBOLS)] for q in range(states)])
+    return Transducer(made[:, :, 0], made[:, :, 1])
+
+
+def composed(first: Transducer, then: Transducer) -> Transducer:
+    """Reads like ``first`` and writes what ``then`` writes on its output: states are pairs, those of ``first`` the high part."""
+    n = len(then.after)
+    q, r, x = np.meshgrid(np.arange(len(first.after)), np.arange(n), np.arange(SYMBOLS), indexing="ij")
+    between = first.writes[q, x]
+    after, writes = first.after[q, x] * n + then.after[r, between], then.writes[r, between]
+    return reached(Transducer(after.reshape(-1, SYMBOLS), writes.reshape(-1, SYMBOLS)))
+
+
+def reached(t: Transducer) -> Transducer:
+    """Without the states that no clause gets to."""
+    seen, todo = {0: 0}, [0]
+    while todo:
+        for q in t.after[todo.pop()].tolist():
+            if q not in seen:
+                seen[q] = len(seen)
+                todo.append(q)
+    old = np.array(sorted(seen, key=seen.__getitem__))
+    number = np.zeros(len(t.after), dtype=np.int64)
+    number[old] = np.arange(len(old))
+    return Transducer(number[t.after[old]], t.writes[old])
+
+
+def negation(reach: int = DENIES) -> Transducer:
+    def rule(left: int, x: int) -> tuple[int, int]:
+        if x == NEGATION:
+            return reach, x
+        return max(0, left - 1), {INSULT: DENIED, THREAT: OTHER}.get(x, x) if left else x
+
+    return transducer(reach + 1, rule)
+
+
+def report() -> Transducer:
+    return transducer(2, lambda q, x: (int(q or x == REPORT), {INSULT: QUOTED, THREAT: OTHER}.get(x, x) if q else x))
+
+
+def target(reach: int = POINTS) -> Transducer:
+    def rule(left: int, x: int) -> tuple[int, int]:
+        if x == TARGET:
+            return reach, x
+        if x == BREAK:
+            return 0, x
+        return max(0, left - 1), AIMED if left and x == INSULT else x
+
+    return transducer(reach + 1, rule)
+
+
+def insult(reach: int = WAITS) -> Transducer:
+    def rule(left: int, x: int) -> tuple[int, int]:
+        if x == INSULT:
+            return reach, SLUR
+        if x == TARGET and left:
+            return 0, AIMS
+        return (0 if x == BREAK else max(0, left - 1)), x
+
+    return transducer(reach + 1, rule)
+
+
+def threat(reach: int = WAITS) -> Transducer:
+    def rule(left: int, x: int) -> tuple[int, int]:
+        if x == THREAT:
+            return reach, x
+        if x == TARGET and left:
+            return 0, MENACE
+        return (0 if x == BREAK else max(0, left - 1)), x
+
+    return transducer(reach + 1, rule)
+
+
+def cascade() -> tuple[Transducer, ...]:
+    return negation(), report(), target(), insult(), threat()
+
+
+def machine() -> Transducer:
+    """The five transducers as one."""
+    first, *rest = cascade()
+    for t in rest:
+        first = composed(first, t)
+    return first
+
+
+#: So many words without a meaning bring every state to rest; longer runs of them change nothing.
+REST = max(DENIES, POINTS, WAITS) + 1
 
 
 @dataclass(frozen=True)
@@ -53,64 +174,90 @@ class Grammar:
     threats: tuple[str, ...] = THREATS
     weights: tuple[float, ...] = tuple(PRIOR)
 
-    def automaton(self):
-        """Finds any insult, stem or threat in one pass over a text."""
-        import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for w in self.insults:
-            found.add_word(w, (len(w), True, False))
-        for w in self.threats:
-            found.add_word(w, (len(w), False, False))
-        for w in self.stems:
-            found.add_word(w, (len(w), True, True))
-        found.make_automaton()
-        return found
-
-
-def clause_kinds(words: list[str], grammar: Grammar, insults: frozenset[str], threats: frozenset[str]) -> list[str]:
-    """The composed transducer over one clause: the kind of each match."""
-    target = any(w in TARGETS for w in words)  # a target may follow its insult
-    report, negation, out = False, 0, []
-    for w in words:
-        if w in REPORTS:
-            report = True
-        elif w in NEGATIONS:
-            negation = REACH + 1
-        elif w in insults or (grammar.stems and w.startswith(grammar.stems)):
-            out.append("negated" if negation else "reported" if report else "target" if target else "plain")
-        elif w in threats and not negation and not report:
-            out.append("threat_target" if target else "threat")
-        negation = max(0, negation - 1)
-    return out
+class Reader:
+    """Counts the kinds of match in texts."""
 
+    def __init__(self, grammar: Grammar):
+        import ahocorasick
 
-def counts_of(text: str, grammar: Grammar, automaton, insults: frozenset[str], threats: frozenset[str]) -> list[int]:
-    """How many matches of each kind a text has.  Clauses without any known word are not looked at."""
-    low = text.lower()
-    spots = []
-    for end, (n, _, stem) in automaton.iter(low):
-        start = end - n + 1
-        if (start == 0 or not low[start - 1].isalnum()) and (stem or end + 1 == len(low) or not low[end + 1].isalnum()):
-            spots.append(start)
-    tally = Counter()
-    if spots:
+        self.table, self.stems = machine(), grammar.stems
+        self.codes = {
+            **dict.fromkeys(BREAKS, BREAK), **dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(TARGETS, TARGET),
+            **dict.fromkeys(grammar.threats, THREAT), **dict.fromkeys(grammar.insults, INSULT),
+        }
+        self.automaton = ahocorasick.Automaton()
+        for w in (*grammar.insults, *grammar.threats):
+            self.automaton.add_word(w, (len(w), False))
+        for w in grammar.stems:
+            self.automaton.add_word(w, (len(w), True))
+        self.automaton.make_automaton()
+
+    def clauses(self, text: str) -> Iterator[str]:
+        """The clauses that hold an insult, a stem or a threat."""
+        low = text.lower()
+        spots = []
+        for end, (n, stem) in self.automaton.iter(low):
+            start = end - n + 1
+            if (start == 0 or not low[start - 1].isalnum()) and (stem or end + 1 == len(low) or not low[end + 1].isalnum()):
+                spots.append(start)
+        if not spots:
+            return
+        spots.sort()
         edges = [m.span() for m in CLAUSE.finditer(low)]
-        begins, k, at = [0, *(b for _, b in edges)], 0, -1
-        ends = [*(a for a, _ in edges), len(low)]
+        begins, ends = [0, *(b for _, b in edges)], [*(a for a, _ in edges), len(low)]
+        k, at = 0, -1
         for s in spots:
             while k < len(ends) - 1 and ends[k] <= s:
                 k += 1
             if k != at:
                 at = k
-                words = [w.strip(STRIP) for w in low[begins[k] : ends[k]].split()]
-                tally.update(clause_kinds([w for w in words if w], grammar, insults, threats))
-    return [tally[k] for k in KINDS]
+                yield low[begins[k] : ends[k]]
+
+    def symbols(self, clause: str) -> list[int]:
+        out, quiet = [], 0
+        for w in clause.split():
+            w = w.strip(STRIP)
+            if not w:
+                continue
+            x = self.codes.get(w, OTHER)
+            if x == OTHER and self.stems and w.startswith(self.stems):
+                x = INSULT
+            quiet = quiet + 1 if x == OTHER else 0
+            if quiet <= REST:
+                out.append(x)
+        return out
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many matches of each kind each text has: the composed table goes through all clauses at once."""
+        found, of = [], []
+        for k, text in enumerate(texts):
+            for clause in self.clauses(text):
+                found.append(self.symbols(clause))
+                of.append(k)
+        written = np.zeros((len(texts), SYMBOLS), dtype=np.int64)
+        if found:
+            order = sorted(range(len(found)), key=lambda k: -len(found[k]))
+            length = np.array([len(found[k]) for k in order])
+            flat = np.array([x for k in order for x in found[k]], dtype=np.int64)
+            start, doc, state = np.concatenate([[0], np.cumsum(length)])[:-1], np.array(of)[order], np.zeros(len(order), dtype=np.int64)
+            for step in range(int(length[0])):
+                live = int(np.searchsorted(-length, -step))  # the longest come first
+                x = flat[start[:live] + step]
+                np.add.at(written, (doc[:live], self.table.writes[state[:live], x]), 1)
+                state[:live] = self.table.after[state[:live], x]
+        return np.stack([written[:, list(own)].sum(axis=1) for own in COUNTED], axis=1)
+
+
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """What the weights act on: slurs from the second on, all else from the first, both in logarithms."""
+    out = np.log1p(counts.astype(np.float64))
+    out[:, 0] = np.log(np.maximum(counts[:, 0], 1))
+    return out
 
 
 def probability(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = np.log1p(counts) @ weights[:-1] + weights[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(evidence(counts) @ weights + OFFSET, -30, 30)))
 
 
 def held_out(id_col: str = "doc_id", of: int = 4, part: int = 2) -> Column:
@@ -134,41 +281,66 @@ def _unexplained(grammar: Grammar):
     """The rows that are not toxic, and the toxic ones in which the grammar finds nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, insults, threats = grammar.automaton(), frozenset(grammar.insults), frozenset(grammar.threats)
+        reader = Reader(grammar)
         for batch in batches:
             texts, toxic = (c.to_pylist() for c in batch.columns)
-            yield batch.filter(pa.array([not x or not any(counts_of(t, grammar, automaton, insults, threats)) for t, x in zip(texts, toxic)], pa.bool_()))
+            some = reader.counts(texts).any(axis=1)
+            yield batch.filter(pa.array(~(some & np.array(toxic, dtype=bool)), pa.bool_()))
 
     return run
 
 
-def lexicon(rows: list[tuple[str, int, int]], least: int = 5) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Words and stems that the toxic rows of the sample have and the others have not.
+def marked_words(rows: list[tuple[str, int, int]], stems: tuple[str, ...], least: int = 3, purity: float = 0.02) -> tuple[str, ...]:
+    """Words that the toxic rows of the sample have and the others hardly ever; ``rows``: word, clean and toxic documents."""
+    return tuple(sorted(w for w, c, t in rows if len(w) >= 3 and t >= least and c <= purity * t and not w.startswith(stems)))
+
+
+#: Letters of a stem.
+STEM = range(4, 9)
+
+
+def possible_stems(rows: list[tuple[str, int, int]], least: int = 3, purity: float = 0.25) -> tuple[str, ...]:
+    """Beginnings of several words that are mostly in toxic rows."""
+    words, toxic, clean = Counter(), Counter(), Counter()
+    for w, c, t in rows:
+        for n in STEM:
+            if n < len(w):
+                words[w[:n]] += 1
+                toxic[w[:n]] += t
+                clean[w[:n]] += c
+    return tuple(sorted(s for s in words if words[s] >= 6 and toxic[s] >= 6 * least and clean[s] <= purity * toxic[s]))
+
+
+def _repeated(stems: tuple[str, ...]):
+    """For each stem, the clean and toxic rows that have two words with it or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {s: [0, 0] for s in stems}
+        for batch in batches:
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Counter(s for w in text.lower().split() for w in [w.strip(STRIP)] for s in {w[:n] for n in STEM if n < len(w)} if s in seen)
+                for s, n in own.items():
+                    seen[s][toxic] += n >= 2
+        columns = [pa.array(list(seen), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["stem", "clean", "toxic"])
+
+    return run
+
 
-    ``rows``: word, clean documents, toxic documents, for words of two toxic documents or more.
-    """
-    marked = {w: t for w, c, t in rows if len(w) >= 3 and c <= 0.02 * t}
-    others = [w for w, c, t in rows if c > 0.02 * t]
-    taken = Counter(w[:n] for w in others for n in range(4, min(9, len(w) + 1)))
-    words = Counter(w[:n] for w in marked for n in range(4, min(9, len(w))))
-    weight: Counter = Counter()
-    for w, t in marked.items():
-        for n in range(4, min(9, len(w))):
-            weight[w[:n]] += t
-    stems: list[str] = []
-    for s in sorted(words, key=lambda s: (len(s), s)):
-        if words[s] >= 6 and weight[s] >= 6 * least and not taken[s] and not any(s.startswith(x) for x in stems):
-            stems.append(s)
-    alone = tuple(sorted(w for w, t in marked.items() if t >= least and not w.startswith(tuple(stems))))
-    return alone, tuple(stems)
+def good_stems(rows: list[tuple[str, int, int]], least: int = 3, purity: float = 0.15) -> tuple[str, ...]:
+    """Stems that hardly any but toxic rows repeat (a slur counts from the second on); the shortest of a family."""
+    out: list[str] = []
+    for s, c, t in sorted(rows, key=lambda r: (len(r[0]), r[0])):
+        if t >= least and c <= purity * t and not s.startswith(tuple(out)):
+            out.append(s)
+    return tuple(out)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, pull: float = 2.0, rounds: int = 60) -> np.ndarray:
-    """Logistic regression drawn to the prior weights, by Newton's method."""
-    x = np.concatenate([np.log1p(counts), np.ones((len(counts), 1))], axis=1)
-    w = PRIOR.copy()
+    """Logistic regression with a fixed offset, drawn to the prior weights, by Newton's method."""
+    x, w = evidence(counts), PRIOR.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + OFFSET, -30, 30)))
         gradient = x.T @ (labels - p) - pull * (w - PRIOR)
         curve = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
@@ -180,12 +352,11 @@ def fit(counts: np.ndarray, labels: np.ndarray, pull: float = 2.0, rounds: int =
 
 def _counts(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, insults, threats = grammar.automaton(), frozenset(grammar.insults), frozenset(grammar.threats)
-        weights = np.array(grammar.weights)
+        reader, weights = Reader(grammar), np.array(grammar.weights)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                found = np.array([counts_of(t, grammar, automaton, insults, threats) for t in some.column(some.num_columns - 1).to_pylist()], dtype=np.int64).reshape(-1, len(KINDS))
+                found = reader.counts(some.column(some.num_columns - 1).to_pylist())
                 kinds = [pa.array(found[:, j], pa.int64()) for j in range(len(KINDS))]
                 score = pa.array(probability(found, weights), pa.float64())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *kinds, score], names=[*some.schema.names[:-1], *KINDS, "score"])
@@ -207,18 +378,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not picked:
         return Grammar()
     known = F.broadcast(spark.createDataFrame(picked, "id long, toxic int"))  # max_labelled rows of two numbers
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(known, "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(known, "id")
+    # one row for each id, so that the sample has max_labelled rows at most
+    sample = stored(spark, rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))).select("text", "toxic")
 
-    def words_of(rows: DataFrame) -> list[tuple]:
-        seen = rows.mapInArrow(_vocabulary, "word string, clean long, toxic long")
-        seen = seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 2")
-        return [tuple(r) for r in seen.collect()]
+    def tally(some: DataFrame, f: Callable, name: str) -> list[tuple]:
+        seen = some.mapInArrow(f, f"{name} string, clean long, toxic long")
+        return [tuple(r) for r in seen.groupBy(name).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 2").collect()]
 
-    rows = sample.select("text", "toxic")
-    _, stems = lexicon(words_of(rows))
+    tried = possible_stems(tally(sample, _vocabulary, "word"))
+    stems = good_stems(tally(sample, _repeated(tried), "stem"))
     # single words only from what the list and the stems leave open: others just stand beside an insult in some copies
-    open_rows = rows.mapInArrow(_unexplained(Grammar(INSULTS, stems)), "text string, toxic int")
-    words, _ = lexicon(words_of(open_rows))
+    open_rows = sample.mapInArrow(_unexplained(Grammar(INSULTS, stems)), "text string, toxic int")
+    words = marked_words(tally(open_rows, _vocabulary, "word"), stems)
     grammar = Grammar(tuple(dict.fromkeys(INSULTS + words)), stems)
     schema = "toxic int, " + ", ".join(f"{k} long" for k in KINDS) + ", score double"
     rows = sample.select("toxic", "text").mapInArrow(_counts(grammar), schema).toArrow()
