@@ -3,13 +3,14 @@
 ``features`` computes the statistics of a text with built-in functions only.  ``learn`` reads the statistics
 of a bounded sample of labelled documents and builds a decision list by sequential covering: a rule is a
 conjunction of thresholds, grown on two thirds of the rows by FOIL gain and pruned on the other third by
-precision; rows it covers are set aside and the next rule is grown, until no rule is precise enough.
-``verdict`` turns the list into one ordered conditional expression.  Only the small sample (``max_labelled``
+precision; rows it covers are set aside and the next rule is grown.  A rule that is not precise enough is not kept; the
+rows it was grown for are set aside too, so that others still find theirs.  ``verdict`` turns the list into one ordered conditional expression.  Only the small sample (``max_labelled``
 rows of numbers) reaches the driver; all documents are judged inside Spark.
 
-Rules name what goes; a document that no rule covers is kept.  Defined cases: a null or empty text has no
-words and fails the base rule; ids in the labels that have no document, repeated labels and null labels are
-ignored; with no labels the list is empty and the base rule alone decides.
+Rules name what goes among the documents that pass the base rule; one that no rule covers is kept.  Defined cases: a
+null or empty text has no words and fails the base rule; ids in the labels that have no document, repeated labels and
+null labels are ignored; of rows that share an id one is in the sample; with no labels the list is empty and the base
+rule alone decides; other columns pass through, whatever their names (the added ones named here are replaced).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, text_of, words
+from .common import WS, fresh, let, text_of, words
 
 #: Rows of the labelled sample; with six numbers a row this is about one MB on the driver.
 MAX_LABELLED = 8_000
@@ -61,13 +62,14 @@ def _repeat_words(w: Column) -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the statistics added as columns that start with two underscores."""
     t = text_of(text_col)
-    out = docs.withColumns({"__w": words(t), "__lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)})
-    out = out.withColumns({"__n_words": F.size("__w").cast("long"), "__n_repeat_words": _repeat_words(F.col("__w")).cast("long"), "__distinct": F.size(F.array_distinct("__w"))})
+    w, lines, distinct = fresh(docs, "__w", "__lines", "__distinct")
+    out = docs.withColumns({w: words(t), lines: F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)})
+    out = out.withColumns({"__n_words": F.size(w).cast("long"), "__n_repeat_words": _repeat_words(F.col(w)).cast("long"), distinct: F.size(F.array_distinct(w))})
     out = out.withColumns(
         {
-            "__word_chars": F.length(F.array_join("__w", "")).cast("long"),
+            "__word_chars": F.length(F.array_join(w, "")).cast("long"),
             "__n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-            "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "__n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         }
     )
     words_, chars = F.greatest(F.col("__n_words"), F.lit(1)), F.greatest(F.col("__word_chars"), F.lit(1))
@@ -75,11 +77,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         {
             "__mean_word": F.col("__word_chars") / words_,
             "__symbol_rate": F.col("__n_symbols") / chars,
-            "__dup_line_rate": F.col("__n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1)),
+            "__dup_line_rate": F.col("__n_dup_lines") / F.greatest(F.size(lines), F.lit(1)),
             "__repeat_rate": F.col("__n_repeat_words") / words_,
-            "__distinct_rate": F.col("__distinct") / words_,
+            "__distinct_rate": F.col(distinct) / words_,
         }
-    ).drop("__w", "__lines", "__distinct")
+    ).drop(w, lines, distinct)
 
 
 @dataclass(frozen=True)
@@ -102,11 +104,11 @@ class Rule:
 
 
 def _thresholds(rows: list[dict], name: str, steps: int = 48) -> list[float]:
+    """Half way between neighbouring values: all of them if there are few, else at equal ranks and near both ends."""
     values = sorted({float(r[name]) for r in rows})
-    if len(values) <= steps:
-        return [(a + b) / 2 for a, b in zip(values, values[1:])]
-    cuts = {values[len(values) * k // steps] for k in range(1, steps)} | {values[-1 - len(values) // 200], values[len(values) // 200]}
-    return sorted(cuts)
+    last = len(values) - 2
+    at = range(last + 1) if last < steps else {last * k // steps for k in range(steps + 1)} | {len(values) // 200, last - len(values) // 200}
+    return sorted((values[k] + values[k + 1]) / 2 for k in at)
 
 
 def _grow(bad: list[dict], good: list[dict], names: Sequence[str], most: int) -> tuple:
@@ -140,8 +142,11 @@ def decision_list(
     """Sequential covering over plain rows of numbers."""
     rules: list[Rule] = []
     rest = list(rows)
-    while len(rules) < most_rules:
-        grow, prune = [r for i, r in enumerate(rest) if i % 3], [r for i, r in enumerate(rest) if i % 3 == 0]
+    tried = 0
+    while len(rules) < most_rules and tried < 4 * most_rules:
+        tried += 1
+        open_ = [r for r in rest if not r.get("aside")]
+        grow, prune = [r for i, r in enumerate(open_) if i % 3], [r for i, r in enumerate(open_) if i % 3 == 0]
         bad, good = [r for r in grow if r[target]], [r for r in grow if not r[target]]
         if len(bad) < least:
             break
@@ -153,12 +158,27 @@ def decision_list(
 
         while len(tests) > 1 and worth(tests[:-1]) >= worth(tests):
             tests = tests[:-1]
-        hit = [r for r in rest if Rule(tests, 0, 0).covers(r)] if tests else []
-        right = sum(bool(r[target]) for r in hit)
-        if right < least or right < precision * len(hit):
+        if not tests:
             break
-        rules.append(Rule(tests, right / len(hit), len(hit)))
-        rest = [r for r in rest if not rules[-1].covers(r)]
+
+        def precise(hit: list[dict]) -> bool:
+            right = sum(bool(r[target]) for r in hit)
+            return right >= least and right >= precision * len(hit)
+
+        hit = [r for r in rest if Rule(tests, 0, 0).covers(r)]
+        if not precise(hit):  # once more, with the rows that growing did not see
+            tests += _grow([r for r in hit if r[target]], [r for r in hit if not r[target]], names, most_tests - len(tests))
+            hit = [r for r in rest if Rule(tests, 0, 0).covers(r)]
+        if precise(hit):
+            right = sum(bool(r[target]) for r in hit)
+            rules.append(Rule(tests, right / len(hit), len(hit)))
+            rest = [r for r in rest if not rules[-1].covers(r)]
+        else:
+            # not precise enough: what it was grown for no longer steers the next ones
+            seeds = {id(r) for r in hit if r[target] and not r.get("aside")}
+            if not seeds:
+                break
+            rest = [{**r, "aside": True} if id(r) in seeds else r for r in rest]
     return rules
 
 
@@ -181,10 +201,12 @@ def learn(
     )
     picked = labels.sparkSession.createDataFrame(picked.collect(), picked.schema)  # max_labelled rows of two numbers
     known = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    rows = features(known, "__id", "__text").select(
+    seen = features(known, "__id", "__text").filter(~base_failed()).select(
         "__id", (F.col("__label") == 0).alias("bad"), *[F.col("__" + n).cast("double").alias(n) for n in RATIOS], F.hash("__text").alias("h")
     )
-    found = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["__id"] * 2654435761 % 4294967296, r["h"]))
+    # one row for each id, so that max_labelled rows are collected at most
+    one = seen.groupBy("__id").agg(F.min(F.struct("h", "bad", *RATIOS)).alias("r")).select("__id", "r.*")
+    found = sorted((r.asDict() for r in one.collect()), key=lambda r: (r["__id"] * 2654435761 % 4294967296, r["h"]))
     return decision_list(found, precision=precision)
 
 
