@@ -32,8 +32,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
 
 
+#: How flat the registered query makes the cells: their shares to this power.
+MIX_TEMPER = 0.7
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir))
+    out = mix(documents(spark, sf_dir), temper=MIX_TEMPER)
     return out.select(
         "doc_id",
         F.col("__tokens").alias("n_tokens"),
