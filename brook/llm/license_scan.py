@@ -13,6 +13,10 @@ words, or all of them if the template is short.  A match is placed at the line o
 
 A run that matches holds a prefix word too, so runs are tried around the prefix words of the whole text only.
 
+``license_scan`` reads each text once.  It notes which template words a document has, which gives the order (by how many
+documents hold a word), and keeps the text of those that hold enough words of some template: a block can't have more
+of them than its document.  The join then runs over these texts.
+
 The counts and the index are as large as the templates, not the corpus, and everything else is expressions on
 the rows.  Beside the join, fixed phrases are found as consecutive words of the whole text.
 
@@ -28,7 +32,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_key, let, text_of
+from .common import ascii_lower, doc_key, let, stored, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
@@ -54,6 +58,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
 )
 #: Templates of fewer words are met whole or not at all: one other word may be another licence.
 SHORT = 10
@@ -94,25 +104,32 @@ def word_frequency(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "
     return {r["w"]: r["n"] for r in held.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def needed(ws: Sequence[str], containment: float) -> int:
+    """How many of a template's words a block must have."""
+    return len(ws) if len(ws) < SHORT else ceil(containment * len(ws) - 1e-9)
+
+
 def similarity_join(
     docs: DataFrame,
     id_columns: Sequence[str],
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     containment: float = 0.8,
     text_col: str = "text",
+    frequency: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Every (document, block, template) at or over the threshold: the id columns, block, template, label, shared, score.
 
-    Rows of ``docs`` with the same id columns are told apart by their text only.
+    Rows of ``docs`` with the same id columns are told apart by their text only.  ``frequency`` orders the words; without
+    it they are counted here.
     """
     spark = docs.sparkSession
     sets = [(k, label, template_words(text)) for k, (label, text) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
-    seen = word_frequency(docs, vocabulary, text_col)
+    seen = word_frequency(docs, vocabulary, text_col) if frequency is None else frequency
     index = []
     for k, label, ws in sets:
         ws = sorted(ws, key=lambda w: (seen.get(w, 0), w))
-        need = len(ws) if len(ws) < SHORT else ceil(containment * len(ws) - 1e-9)
+        need = needed(ws, containment)
         index += [(w, k, label, place, len(ws), need, ws) for place, w in enumerate(ws[: len(ws) - need + 1])]
     schema = "word string, template int, label string, place int, n int, need int, words array<string>"
     prefixes = sorted({x[0] for x in index})
@@ -215,25 +232,30 @@ def license_scan(
     keyed = docs.select(
         F.col(id_col).cast("long").alias("id"), doc_key(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text")
     )
-    # one space between words and at both ends; a phrase can only be there if its words are, side by side
-    line = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(F.col("text")), SEPARATORS, " "), F.lit(" "))
+    sets = [template_words(text) for _, text in templates]
+    vocabulary = sorted({w for ws in sets for w in ws})
+    line = F.btrim(F.regexp_replace(ascii_lower(F.col("text")), SEPARATORS, " "), F.lit(" "))
+    words = F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " "))
+    # a phrase can only be there if its words are, side by side
     some = F.lit(False)
     for phrase in phrases:
-        some = some | F.contains(F.col("line"), F.lit(f" {phrase} "))
-    base = keyed.select("id", "did", "th", line.alias("line"))
-    base = base.withColumns(
-        {
-            "n_words": (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))),
-            "places": F.when(some, _phrase_places(F.split(F.btrim(F.col("line"), F.lit(" ")), " "), phrases)),
-        }
-    ).select(
-        "id", "did", "th",
-        # spaces are one more than words; separators at an end leave two spaces there
-        (F.col("n_words") - 1 - F.when(F.col("line").startswith("  "), 1).otherwise(0) - F.when(F.col("line").endswith("  ") & (F.length("line") > 2), 1).otherwise(0)).alias("n_words"),
-        "places",
+        some = some | F.contains(F.col("line"), F.lit(phrase))
+    enough = F.lit(False)
+    for ws in sets:
+        enough = enough | (F.size(F.array_intersect("held", _strings(ws))) >= needed(ws, containment))
+    least = min((needed(ws, containment) for ws in sets), default=1)
+    enough = (F.size("held") >= least) & enough
+    scanned = stored(
+        docs.sparkSession,
+        keyed.withColumn("line", line)
+        .withColumns({"ws": words, "some": some})
+        .select("id", "did", "th", "text", F.size("ws").alias("n_words"), F.when(F.col("some"), _phrase_places(F.col("ws"), phrases)).alias("places"), F.array_intersect("ws", _strings(vocabulary)).alias("held"))
+        .select("id", "did", "th", "n_words", "places", "held", F.when(enough, F.col("text")).alias("text")),
     )
+    frequency = {r["w"]: r["n"] for r in scanned.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # template words
+    base = scanned.select("id", "did", "th", "n_words", "places")
     found = (
-        similarity_join(keyed, ("did", "th"), templates, containment)
+        similarity_join(scanned.filter("text is not null").select("did", "th", "text"), ("did", "th"), templates, containment, frequency=frequency)
         .groupBy("did", "th")
         .agg(F.collect_set("label").alias("more"), F.max("score").alias("best"), F.count_distinct("block").alias("blocks"))
     )
