@@ -5,9 +5,9 @@ content digest, without expiry, in RocksDB on the executors' disks with a copy i
 often the digest came, the smallest id, and where that row lies (file and row number).  A later call with
 the same checkpoint folder reads only files that are new and goes on from there.
 
-``exact_dedup`` joins every row with its state entry.  A digest only proposes equality: for each digest that
-was met again the full normalised texts are compared (grouped by the bytes themselves), and rows whose digest
-is equal but whose bytes differ are resolved among themselves.
+``exact_dedup`` joins every row with its state entry.  A digest only proposes equality: the full normalised texts of
+every digest that was met again are read once more and the least and the greatest text of a digest compared, byte for
+byte; where these differ (``clashes``), the rows of that digest are resolved among themselves by their texts.
 
 Defined cases: null text counts as empty, so all null and blank texts are one group; a null id is larger than
 every id; of rows with equal text and equal id the first by file and row number stays; an empty table gives an
@@ -23,14 +23,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_RUN, doc_key, shared_dir, stored, text_of
+from .common import WS_RUN, doc_key, hot_from, shared_dir, spread_join, stored, text_of
 
 #: State on disk; without space set aside beforehand (some MB for each of many small stores).
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Digests that were met again are broadcast up to this many (32 bytes each); beyond it every text is compared.
+#: Digests that were met again are broadcast up to this many (32 bytes each); more of them are joined by digest.
 BROADCAST_HITS = 250_000
 
 
@@ -107,6 +107,16 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def clashes(spark: SparkSession, path: str, state: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The digests (stored) under which the table has different normalised texts."""
+    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
+    hits = state.filter("n > 1").select("digest")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    met = rows.select("digest", "norm").join(hits, "digest", "left_semi")
+    # in the tasks that read, thousands of copies become one row
+    return stored(spark, met.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).filter("least <> most").select("digest"))
+
+
 def exact_dedup(
     spark: SparkSession,
     path: str,
@@ -118,25 +128,18 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of the table: id, keep_id, group_size, kept, digest, text_sha256."""
     state = dedup_state(spark, path, checkpoint, id_col, text_col, digest, max_bytes_per_batch)
+    apart_digests = clashes(spark, path, state, id_col, text_col, digest)
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
-
-    hits = state.filter("n > 1").select("digest")
-    texts = rows.select("digest", "norm")
-    if hits.count() <= BROADCAST_HITS:
-        texts = texts.join(F.broadcast(hits), "digest", "left_semi")
-    # full bytes of every hit; grouping starts in the tasks that read, so thousands of copies travel as one row a task
-    by_text = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-    clashes = stored(spark, by_text.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
-
     slim = rows.select("id", "did", "at", "digest", *([F.col("digest").alias("sha")] if digest is sha256 else [sha256(F.col("norm")).alias("sha")]))
-    out = slim.join(state, "digest")
-    if not clashes.isEmpty():
-        of_clash = rows.join(clashes.select("digest"), "digest", "left_semi")
+    total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = spread_join(slim, state, "digest", F.col("n") >= hot_from(total), F.xxhash64("did", "at.file", "at.row"))
+    if not apart_digests.isEmpty():
+        of_clash = rows.join(apart_digests, "digest", "left_semi")
         groups = of_clash.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at")).alias("first"))
         apart = of_clash.join(groups, ["digest", "norm"]).select(
             "digest", "id", "did", "at", sha256(F.col("norm")).alias("sha"), "n", F.col("first.did").alias("keep_did"), F.col("first.at").alias("keep_at")
         )
-        out = out.join(clashes.select("digest"), "digest", "left_anti").unionByName(apart)
+        out = out.join(apart_digests, "digest", "left_anti").unionByName(apart)
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("keep_did") == F.lit(9223372036854775807), F.lit(None).cast("long")).otherwise(F.col("keep_did")).alias("keep_id"),
