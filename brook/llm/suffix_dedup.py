@@ -13,7 +13,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 * Agreement found by hash is verified on the bytes; a collision makes the bucket start afresh with another base.
 * The verdicts return to the tiles, where the windows are laid over the texts.
 
-Whole texts that an earlier document has (by a 128-bit digest) go as a whole without taking part.
+Whole texts that an earlier document has (by a 128-bit digest) go as a whole without taking part.  Long documents are
+worked on in pieces that overlap by ``length`` bytes, so the arrays beside a text stay small.
 
 Defined cases: a null or empty text has no bytes and keeps none; rows that share an id are not smaller than each
 other; a null id is larger than every other; repeats inside one document stay; other columns are ignored.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID
-from .text_bytes import BASE, chunks, mix, powers, prefix_hash, span_hash
+from .text_bytes import BASE, mix, pieces, powers, prefix_hash, span_hash
 from .tiles import Found, Tile, bucket_bits, rows_of, shared_keys, shorten, tile_table
 
 LENGTH = 50
@@ -69,10 +70,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
 
 def anchor_keys(length: int, seed: int):
     def run(tile: Tile) -> np.ndarray:
-        out = [np.zeros(0, dtype=np.uint64)]
-        for a, b in chunks(tile.lengths):
-            data, offsets = tile.part(a, b)
+        out, long = [np.zeros(0, dtype=np.uint64)], []
+        for _, data, offsets, _, start, end, more in pieces(tile.data, tile.offsets, length):
             where, h, _ = anchors(data, offsets, length, seed)
+            own = (where >= start) & (where < end)
+            where, h = where[own], h[own]
+            if more or long:  # parts of one document: what they share is held once
+                long.append(h)
+                if not more:
+                    out.append(np.unique(np.concatenate(long)))
+                    long = []
+                continue
             doc = np.searchsorted(offsets, where, side="right") - 1
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
@@ -102,17 +110,16 @@ class Contexts:
             firsts[name] = min(i, firsts.get(name, i))
         self.copy = np.array([name in found.digests or firsts[name] < i for name, i in zip(names, tile.ids.tolist())], dtype=bool)
         doc, at, key, code, left, right = ([np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
-        for a, b in chunks(tile.lengths):
-            data, offsets = tile.part(a, b)
+        for a, data, offsets, base, start, end, _ in pieces(tile.data, tile.offsets, length):
             where, h, prefix = anchors(data, offsets, length, seed)
             d = np.searchsorted(offsets, where, side="right") - 1
-            use = (found.counts(h) > 1) & ~self.copy[a + d]
+            use = (found.counts(h) > 1) & ~self.copy[a + d] & (where >= start) & (where < end)
             where, h, d = where[use], h[use], d[use]
             lo, hi = np.maximum(where - side, offsets[d]), np.minimum(where + length, offsets[d + 1])
             l, r = where - lo, hi - where
             code.append(mix(span_hash(prefix, lo, hi) + l.astype(np.uint64) * np.uint64(BASE) + mix(r.astype(np.uint64))))
             doc.append(a + d)
-            at.append(int(tile.offsets[a]) + where)
+            at.append(base + where)
             key.append(shorten(h, found.bits))
             left.append(l)
             right.append(r)
@@ -125,15 +132,14 @@ class Contexts:
         self.context[order] = np.cumsum(new) - 1
         self.key, self.left, self.right = key[head], left[head], right[head]
         self.first, self.place = tile.ids[self.doc[head]], self.at[head]
-        self.cut = np.searchsorted((self.key >> np.uint64(32)).astype(np.int64), np.arange((1 << found.bits) + 1))
 
-    def table(self, tile: Tile, bits: int, length: int, seed: int) -> Iterator[tuple]:
+    def table(self, tile: Tile, length: int, seed: int) -> Iterator[tuple]:
         side = length - seed
         span = np.arange(-side, length)
-        for b in range(1 << bits):
-            own = slice(self.cut[b], self.cut[b + 1])
-            if self.cut[b] == self.cut[b + 1]:
-                continue
+        bucket = (self.key >> np.uint64(32)).astype(np.int64)
+        there, first = np.unique(bucket, return_index=True)
+        for b, k0, k1 in zip(there.tolist(), first.tolist(), [*first.tolist()[1:], len(bucket)]):
+            own = slice(k0, k1)
             place, left, right = self.place[own, None], self.left[own, None], self.right[own, None]
             inside = (span >= -left) & (span < right)
             text = np.where(inside, tile.data[np.clip(place + span, 0, len(tile.data) - 1)], 0).astype(np.uint8)
@@ -148,7 +154,7 @@ def _send(bits: int, length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             tile, found = Tile(row), Found(row["found"], bits)
-            out = list(Contexts(tile, found, length, seed).table(tile, bits, length, seed))
+            out = list(Contexts(tile, found, length, seed).table(tile, length, seed))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
