@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import corpus
+import corpus_pipeline
 
 from brook.llm import exact_dedup as exact
 from brook.llm.components import components
@@ -23,10 +24,13 @@ from brook.llm.line_dedup import line_dedup
 from brook.llm.mixing import mix, rake
 from brook.llm.ngram_join import keys_of_set, ngram_join
 from brook.llm.packing import Chunks, pack, plan
-from brook.llm.quality_rules import RATIOS, decision_list, features, quality_rules
+from brook.llm.quality_rules import RATIOS, base_failed, decision_list, features, quality_rules, verdict
+from brook.llm.quality_rules import learn as learn_rules
 from brook.llm.queries import tokenizer_path
 from brook.llm.suffix_dedup import suffix_dedup
-from brook.llm.toxicity import KINDS, PRIOR, Grammar, clause_kinds, counts_of, toxicity
+from brook.llm.text_bytes import word_hashes
+from brook.llm.toxicity import INSULT, KINDS, PRIOR, REST, TARGET, WORDS, Grammar, Reader, cascade, composed, machine, toxicity
+from brook.llm.toxicity import probability as toxic_probability
 
 LAST = 9223372036854775807
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -123,6 +127,29 @@ def test_combination_keys_meet():
         assert keys[0] & keys[1]
 
 
+def test_a_very_long_text(spark):
+    """A text of 50 MB beside short ones that share passages with it."""
+    parts = lambda a, b: F.array_join(F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.md5(i.cast("string"))), " ")
+    texts = [(1, parts(1, 1_550_000)), (2, parts(700_000, 700_009)), (3, F.concat(F.lit("x" * 60), parts(1_549_990, 1_549_999))), (4, parts(1, 1_550_000))]
+    rows = None
+    for i, t in texts:
+        one = spark.range(1).select(F.lit(i).cast("long").alias("doc_id"), t.alias("text"))
+        rows = one if rows is None else rows.union(one)
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup(rows).collect()}
+    assert found == {1: (51149999, 0), 2: (329, 329), 3: (389, 329), 4: (51149999, 51149999)}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(rows).collect()}
+    assert near == {1: (1549996, 1), 2: (6, 2), 3: (6, 3), 4: (1549996, 1)}
+
+
+def test_pieces_of_a_text_have_its_words():
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"abcdefgh  \n", dtype=np.uint8), 5000)
+    whole, _ = word_hashes(data, np.array([0, len(data)]), 1 << 20)
+    parts, _ = word_hashes(data, np.array([0, len(data)]), 300)
+    assert (whole == parts).all()
+    assert (word_hashes(np.full(5000, 97, dtype=np.uint8), np.array([0, 5000]), 300)[0] == word_hashes(np.full(5000, 97, dtype=np.uint8), np.array([0, 5000]))[0]).all()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (95, 90), (7, 7), (100, 95)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -207,6 +234,54 @@ def test_decision_list():
     assert decision_list([]) == []
 
 
+def test_quality_rules_at_a_small_size(spark):
+    """The list is not empty, and the verdict is that of a plain reading of it."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = learn_rules(docs, labels)
+    assert rules
+    for r in quality_rules(docs, labels).drop("text").collect():
+        values = {n: r["__" + n] for n in RATIOS}
+        rule = next((k for k, x in enumerate(rules) if x.covers(values)), None)
+        assert r["__rule"] == rule and r["__kept"] == (not r["__base_failed"] and rule is None)
+
+
+def test_quality_rules_hold_for_other_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    rules = learn_rules(docs, labels.filter(~other))
+    met = features(docs).join(labels.filter(other & F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id").filter(~base_failed())
+    n = {(r["quality"], r["gone"]): r["count"] for r in met.withColumn("gone", verdict(rules).isNotNull()).groupBy("quality", "gone").count().collect()}
+    assert n[0, True] >= 0.9 * (n[0, True] + n.get((0, False), 0)) and n[0, True] >= 0.95 * (n[0, True] + n.get((1, True), 0))
+
+
+def test_decision_list_goes_on_after_a_vague_rule():
+    """Most bad rows look like good ones; the others have a mark of their own."""
+    rng = np.random.default_rng(8)
+    rows = [{n: float(rng.random()) for n in RATIOS} | {"bad": k < 120} for k in range(400)]
+    for r in rows[:30]:
+        r["symbol_rate"] = 2.0
+    assert sum(x.covers(r) for x in decision_list(rows) for r in rows[:30]) == 30
+
+
+def test_labelled_sample_is_bounded(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("7L as doc_id", "concat('some words of the same text that go on and on up to ', id) as text")
+    labels = spark.createDataFrame([(7, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr("brook.llm.quality_rules.decision_list", lambda rows, **k: seen.append(len(rows)) or [])
+    assert quality_rules(docs, labels, max_labelled=1).count() == 2000 and seen == [1]
+
+
+def test_columns_with_the_names_of_helpers_stay(spark, docs, labels):
+    names = ["__key", "__pos", "__hash", "__did", "__th", "__s", "__l", "__t", "__w", "__lines", "__distinct", "__gone", "h", "first", "hot_", "weight", "probability", "id", "did"]
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")) for n in names})
+    for out in (line_dedup(some), mix(some), quality_rules(some, labels), corpus_pipeline.near_copies(spark, some, "")):
+        assert set(some.columns) <= set(out.columns)
+        first = out.filter("doc_id = 3").first()
+        assert all(first[n] == f"{n}3" for n in names)
+
+
 def test_license_scan(docs, empty):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -264,17 +339,61 @@ def test_toxicity(docs, labels, empty):
 
 
 def test_toxicity_grammar():
-    g = Grammar(stems=("dumm",))
-    kinds = lambda s: clause_kinds(s.split(), g, frozenset(g.insults), frozenset(g.threats))
-    assert kinds("you are an idiot") == ["target"]
-    assert kinds("what an idiot") == ["plain"]
-    assert kinds("you are not an idiot") == ["negated"]
-    assert kinds("he said you are an idiot") == ["reported"]
-    assert kinds("i will kill you") == ["threat_target"]
-    assert kinds("dummheit") == ["plain"]
-    a = g.automaton()
-    assert counts_of("Fine. You idiot! idiotic", g, a, frozenset(g.insults), frozenset(g.threats)) == [0, 1, 0, 0, 0, 0]
-    assert len(PRIOR) == len(KINDS) + 1
+    reader = Reader(Grammar(stems=("dumm",)))
+    kinds = lambda s: {k: int(n) for k, n in zip(KINDS, reader.counts([s])[0]) if n}
+    assert kinds("you are an idiot") == {"slur": 1, "aimed": 1}
+    assert kinds("what an idiot") == {"slur": 1}
+    assert kinds("idiot, he is here") == {"slur": 1}  # a target in another clause
+    assert kinds("stupid you") == {"slur": 1, "aimed": 1}
+    assert kinds("you are not an idiot") == {"denied": 1}
+    assert kinds("he said you are an idiot") == {"quoted": 1}
+    assert kinds("he was found in the trash") == {"slur": 1}  # a preposition ends the reach
+    assert kinds("i will kill you") == {"threat": 1, "menace": 1}
+    assert kinds("they never kill you") == {}
+    assert kinds("dummheit") == {"slur": 1}
+    assert kinds("Fine. You idiot! idiotic") == {"slur": 1, "aimed": 1}
+    assert kinds("you " + "word " * 50 + "idiot") == {"slur": 1}
+    assert len(PRIOR) == len(KINDS)
+
+
+def test_toxicity_scores_clauses_not_words():
+    reader = Reader(Grammar())
+    score = lambda s: float(toxic_probability(reader.counts([s]), PRIOR)[0])
+    for text in ("", "idiot", "Moron is the name of a town.", "He was found in the trash.", "You are not an idiot.", "She said he is an idiot.", "They kill time."):
+        assert score(text) < 0.3
+    for text in ("You are an idiot.", "You are a worthless idiot.", "I will kill you.", "the loser and his pathetic friends"):
+        assert score(text) >= 0.3
+
+
+def test_composed_transducers_write_what_the_cascade_writes():
+    rng = np.random.default_rng(6)
+    steps, one = cascade(), machine()
+    pair = composed(steps[0], steps[2])
+    for _ in range(500):
+        read = rng.integers(0, WORDS, int(rng.integers(1, 25))).tolist()
+        out = read
+        for t in steps:
+            out = t.run(out)
+        assert one.run(read) == out
+        assert pair.run(read) == steps[2].run(steps[0].run(read))
+    # runs of words without a meaning are as good as REST of them
+    assert all(one.run([x] + [0] * k + [TARGET, INSULT])[-2:] == one.run([x] + [0] * REST + [TARGET, INSULT])[-2:] for x in range(WORDS) for k in range(REST, REST + 4))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Many rows of one id are one row of the sample."""
+    docs = spark.range(2000).selectExpr("7L as doc_id", "concat('you are an idiot ', id) as text")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert toxicity(docs, labels, max_labelled=1).filter("predicted = 1").count() == 2000
+
+
+def test_toxicity_learns_on_held_out_rows(spark):
+    """Precision and recall on the rows that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    out = toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    met = out.join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic"), "doc_id").filter("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in met.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
 
 
 def test_packing(docs, empty):
@@ -338,6 +457,46 @@ def test_mixing(spark, docs, empty):
     assert abs(share("source", "x") - 0.5) < 0.02 and abs(share("lang", "en") - 0.7) < 0.02
 
 
+@pytest.mark.parametrize("options", [{}, {"temper": 0.6}, {"temper": 0.6, "local_cells": 0}], ids=str)
+def test_mixing_is_plain_proportional_fitting(docs, options):
+    """Every document's probability and draw against a plain version."""
+    rows = [r.asDict() for r in docs.collect()]
+    space = re.compile(r"[\x20\x09-\x0D]+")
+    words = lambda t: len([w for w in space.split(t or "") if w])
+    about = lambda t: "notice" if "licen" in t.lower() else "table" if t.count("|") >= 5 else "list" if t.count("\n") >= 20 else "prose"
+    cell = lambda r: (r["source"] or "(null)", r["lang"] or "(null)", about(r["text"] or ""))
+    now = collections.Counter()
+    for r in rows:
+        now[cell(r)] += words(r["text"])
+    before = {k: float(v) for k, v in now.items() if v}
+    total, temper = sum(before.values()), options.get("temper", 0.97)
+    flat = {k: (v / total) ** temper for k, v in before.items()}
+    now = dict(before)
+    for _ in range(400):
+        for axis in range(3):
+            for name in {k[axis] for k in now}:
+                want = sum(v for k, v in flat.items() if k[axis] == name) / sum(flat.values()) * total
+                have = sum(v for k, v in now.items() if k[axis] == name)
+                now = {k: v * want / have if k[axis] == name else v for k, v in now.items()}
+    most = max(v / before[k] for k, v in now.items())
+    out = mix(docs, **options).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        p = now[cell(r.asDict())] / before[cell(r.asDict())] / most if words(r["text"]) else 1.0
+        drawn = int(hashlib.md5(f"7:{'(null)' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+        assert r["__probability"] == pytest.approx(p, abs=1e-4) and r["__tokens"] == words(r["text"])
+        assert r["__kept"] == (drawn < r["__probability"])
+
+
+def test_targets_out_of_reach_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x", "a"), (2, "a b c", "y", "b")], "doc_id long, text string, lang string, source string")
+    for local in (10, 0):
+        with pytest.raises(ValueError):
+            mix(rows, source_targets={"a": 0.5, "b": 0.5}, lang_targets={"x": 0.9, "y": 0.1}, local_cells=local).count()
+    with pytest.raises(ValueError):
+        rake({("a", "x", "t"): 1.0, ("b", "y", "t"): 1.0}, ({"a": 0.5, "b": 0.5}, {"x": 0.9, "y": 0.1}, None))
+
+
 def test_raking():
     cells = {("a", "x", "p"): 10.0, ("a", "y", "p"): 30.0, ("b", "x", "p"): 40.0, ("b", "y", "q"): 20.0}
     out = rake(cells, ({"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}, {"p": 0.8, "q": 0.2}), rounds=500)
