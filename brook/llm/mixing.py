@@ -76,7 +76,7 @@ def rake(
     """Cells scaled until their sums along each axis meet the target shares, if it has any (cells of no weight stay out)."""
     keys = [k for k, v in cells.items() if v > 0]
     now = np.array([float(cells[k]) for k in keys])
-    total, offs = now.sum(), [0.0]
+    total, offs = now.sum(), [float("inf")]
     axes = []
     for axis, wanted_shares in enumerate(targets):
         if wanted_shares is None:
@@ -150,7 +150,7 @@ def table_factors(
             whole = raw.agg(F.sum("raw")).first()[0] or 1.0
             own = raw.select(a, (F.col("raw") / whole).alias(f"share_{a}"))
         now = now.join(own, a)
-    now, offs = stored(spark, now), [0.0]
+    now, offs = stored(spark, now), [float("inf")]
     for _ in range(rounds):
         if stuck(offs):
             raise not_met(offs[-1], len(offs) - 1)
