@@ -201,12 +201,13 @@ def learn(
     )
     picked = labels.sparkSession.createDataFrame(picked.collect(), picked.schema)  # max_labelled rows of two numbers
     known = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    seen = features(known, "__id", "__text").filter(~base_failed()).select(
-        "__id", (F.col("__label") == 0).alias("bad"), *[F.col("__" + n).cast("double").alias(n) for n in RATIOS], F.hash("__text").alias("h")
+    seen = features(known, "__id", "__text").select(
+        "__id", base_failed().alias("failed"), (F.col("__label") == 0).alias("bad"), *[F.col("__" + n).cast("double").alias(n) for n in RATIOS], F.hash("__text").alias("h")
     )
     # one row for each id, so that max_labelled rows are collected at most
-    one = seen.groupBy("__id").agg(F.min(F.struct("h", "bad", *RATIOS)).alias("r")).select("__id", "r.*")
-    found = sorted((r.asDict() for r in one.collect()), key=lambda r: (r["__id"] * 2654435761 % 4294967296, r["h"]))
+    one = seen.groupBy("__id").agg(F.min(F.struct("h", "failed", "bad", *RATIOS)).alias("r")).select("__id", "r.*")
+    # what fails the base rule goes here: as a filter it would be moved below the join, where all texts are
+    found = sorted((r.asDict() for r in one.collect() if not r["failed"]), key=lambda r: (r["__id"] * 2654435761 % 4294967296, r["h"]))
     return decision_list(found, precision=precision)
 
 
