@@ -95,17 +95,25 @@ def hot_from(total: int, least: int = 1000) -> int:
     return max(least, total // HOT_KEYS + 1)
 
 
-def spread_join(rows: DataFrame, found: DataFrame, key: str, hot: Column, salt: Column) -> DataFrame:
-    """``rows`` with what ``found`` (one row a key) has for a binary key; rows without an entry go.
+def spread_join(rows: DataFrame, found: DataFrame, key: str, total: int, salt: Column) -> DataFrame:
+    """``rows`` with what ``found`` has for a key; rows without an entry go.
 
-    Entries for which ``hot`` holds are broadcast: there must be a proven bound on them (see ``hot_from``).  Their rows
-    go on under salted keys, which match nothing, so that no task of the shuffled join gets all rows of a key.
+    ``found`` has one row a key, read twice, with ``n``, the number of rows of the key.  Entries of hot keys (``hot_from``
+    of ``total`` rows) are broadcast: there are HOT_KEYS of them at most.  Their rows go on under ``salt``, a value of the
+    key's type that differs from row to row, so that no task of the shuffled join gets all rows of a key.  If that meets
+    another key's entry, it does no harm: the broadcast one comes first.
     """
-    values = [c for c in found.columns if c != key]
-    few = found.filter(hot).select(F.col(key), F.struct(*values).alias("hot_"))
-    rest = found.filter(~hot).select(F.col(key).alias("key_"), F.struct(*values).alias("cold_"))
+    values = [c for c in found.columns if c not in (key, "n")]
+    hot = F.col("n") >= hot_from(total)
+    few = found.filter(hot).select(F.col(key), F.struct(F.lit(True).alias("one_"), *values).alias("hot_"))
+    rest = found.filter(~hot).select(F.col(key).alias("key_"), F.struct(F.lit(True).alias("one_"), *values).alias("cold_"))
     met = rows.join(F.broadcast(few), key, "left")
-    dealt = F.when(F.col("hot_").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.unhex(F.hex(salt))))
+    dealt = F.when(F.col("hot_").isNull(), F.col(key)).otherwise(salt)
     both = met.withColumn("dealt_", dealt).join(rest, F.col("dealt_") == F.col("key_"), "left")
     one = F.coalesce("hot_", "cold_")
     return both.filter(one.isNotNull()).select(*rows.columns, *[one[c].alias(c) for c in values])
+
+
+def salt_bytes(*columns: str) -> Column:
+    """Eight bytes at most from a hash of the columns."""
+    return F.unhex(F.hex(F.xxhash64(*columns)))

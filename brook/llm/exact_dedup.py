@@ -23,7 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_RUN, doc_key, hot_from, shared_dir, spread_join, stored, text_of
+from .common import WS_RUN, doc_key, salt_bytes, shared_dir, spread_join, stored, text_of
 
 #: State on disk; without space set aside beforehand (some MB for each of many small stores).
 STATE_STORE = {
@@ -132,14 +132,14 @@ def exact_dedup(
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
     slim = rows.select("id", "did", "at", "digest", *([F.col("digest").alias("sha")] if digest is sha256 else [sha256(F.col("norm")).alias("sha")]))
     total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = spread_join(slim, state, "digest", F.col("n") >= hot_from(total), F.xxhash64("did", "at.file", "at.row"))
+    out = spread_join(slim, state.withColumn("copies", F.col("n")), "digest", total, salt_bytes("did", "at.file", "at.row")).withColumnRenamed("copies", "n")
     if not apart_digests.isEmpty():
         of_clash = rows.join(apart_digests, "digest", "left_semi")
         groups = of_clash.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at")).alias("first"))
         apart = of_clash.join(groups, ["digest", "norm"]).select(
             "digest", "id", "did", "at", sha256(F.col("norm")).alias("sha"), "n", F.col("first.did").alias("keep_did"), F.col("first.at").alias("keep_at")
         )
-        out = out.join(apart_digests, "digest", "left_anti").unionByName(apart)
+        out = out.join(apart_digests, "digest", "left_anti").unionByName(apart.select(*out.columns))
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("keep_did") == F.lit(9223372036854775807), F.lit(None).cast("long")).otherwise(F.col("keep_did")).alias("keep_id"),

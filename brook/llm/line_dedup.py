@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, doc_key, fresh, hot_from, let, spread_join, stored, text_of
+from .common import WS, ascii_lower, doc_key, fresh, let, salt_bytes, spread_join, stored, text_of
 
 
 def line_hash(line: Column, min_chars: int) -> Column:
@@ -41,7 +41,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs_of = lines.groupBy("h", "did").agg(F.count(F.lit(1)).alias("m"))
         keys = docs_of.groupBy("h").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("d"), F.sum("m").alias("n")).filter(F.col("d") >= min_docs).drop("d")
     keys = stored(spark, keys)
-    met = spread_join(lines, keys, "h", F.col("n") >= hot_from(lines.count()), F.xxhash64("did", "pos"))
+    met = spread_join(lines, keys, "h", lines.count(), salt_bytes("did", "pos"))
     did, th, pos, key, hashed = fresh(docs, "__did", "__th", "__pos", "__key", "__hash")
     gone = (
         met.filter("did > first")
