@@ -102,6 +102,21 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # every byte place as two hexadecimal digits; windows of 50 bytes by md5
+    "op1_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, octet_length(encode(coalesce(text, ''))) AS n FROM (SELECT d.doc_id, d.h, x.text FROM d JOIN documents x USING (doc_id))),
+        w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM b WHERE n >= 50)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+        hit AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+        g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM hit),
+        r AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+        spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS e FROM r GROUP BY doc_id, k),
+        cuts AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS removed, count(*) AS spans, list(e ORDER BY a) AS ends, list(a ORDER BY a) AS starts FROM spans GROUP BY doc_id),
+        j AS (SELECT b.doc_id, b.n, b.h, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans, [0] || coalesce(ends, []) AS froms, coalesce(starts, []) || [b.n] AS tos FROM b LEFT JOIN cuts USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda i: substr(h, 2 * froms[i] + 1, 2 * (tos[i] - froms[i]))), ''))) AS kept_sha256
+        FROM j""",
     "op5_line_dedup": r"""
         WITH l AS (
           SELECT doc_id, u.pos AS pos, u.line AS line,
