@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 CAPACITY = 2048
-#: Distinct chunks a worker remembers; beyond, it starts afresh.
-REMEMBERED = 250_000
+#: Distinct chunks a worker remembers beside as many earlier ones; beyond, the earlier ones go.
+REMEMBERED = 200_000
 PIECES = "id long, part int, rank long, piece int, start long, length int, crc long"
 
 
@@ -58,7 +58,9 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, chunks: list[bytes]) -> list[bytes]:
@@ -77,7 +79,8 @@ class Chunks:
             if not folded.isalpha():
                 return None
             word = "".join(map(self.letters.__getitem__, folded.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(word)])
 
     def learn(self, fresh: list[bytes]) -> None:
         known, cores, rest = self.known, self.cores, []
@@ -102,11 +105,15 @@ class Chunks:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        fresh = list({c for s in split for c in s if c not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            self.cores = {b"": b""}
-            fresh = list({c for s in split for c in s})
+        if len(self.known) > REMEMBERED:  # what is used again comes back from the chunks before
+            self.before, self.known, self.cores = self.known, {}, {b"": b""}
+        known, before = self.known, self.before
+        fresh = []
+        for c in {c for s in split for c in s if c not in known}:
+            if c in before:
+                known[c] = before[c]
+            else:
+                fresh.append(c)
         self.learn(fresh)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
