@@ -534,6 +534,12 @@ def test_every_source_is_raked(spark):
     assert local == table
 
 
+def test_lm_is_better_than_counts_on_held_out_texts(spark):
+    out = lm_score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out")
+    score, base = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert score > base + 0.2
+
+
 def test_lm_knows_contexts_of_every_frequent_word(spark):
     """200 word pairs, all of one form: the second word is likely only after its own first word."""
     rng = np.random.default_rng(9)
