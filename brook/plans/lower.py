@@ -37,6 +37,7 @@ class Stage:
     conditions: tuple[Node, ...] = ()  # filters on the rows of this stage
     pending: Group | None = None
     grouped: tuple[DataFrame, list[tuple[Node, str]], list[tuple[Node, str]]] | None = None  # input with keys, keys, aggregates
+    kept: tuple[Node, ...] = ()  # filters on the groups so far
     spine: tuple = ()  # which keys of the groups are filled, and the filters that bound them
 
     def then(self, df: DataFrame, **changes) -> Stage:
@@ -236,7 +237,7 @@ class Lowering:
         from .spine import conjuncts
 
         condition = self.known(step.condition, s)
-        return replace(s, df=s.df.filter(self.col(condition, s)), conditions=(*s.conditions, *conjuncts(condition)))
+        return replace(s, df=s.df.filter(self.col(condition, s)), conditions=(*s.conditions, *conjuncts(condition)), kept=(*s.kept, condition) if s.grouped else ())
 
     def known(self, n: Node, s: Stage) -> Node:
         """Keys and aggregates of the last block, written again, stand for their outputs."""
@@ -263,8 +264,13 @@ class Lowering:
         nodes = [n.rewrite(f) for n in nodes]
         if not extra:
             return s, nodes
+        # the groups are made again with these and with what their filters need, and filtered again
+        filters = [self.known(n, s).rewrite(f) for n in s.kept]
         source, keys, aggs = s.grouped
-        return replace(s, df=self.aggregate(s, source, keys, aggs + extra)), nodes
+        t = replace(s, df=self.aggregate(s, source, keys, aggs + extra))
+        for n in filters:
+            t = replace(t, df=t.df.filter(self.col(n, t)))
+        return t, nodes
 
     def do_having(self, s: Stage, step: Having) -> Stage:
         if s.pending:
@@ -272,7 +278,7 @@ class Lowering:
         names = s.df.columns
         t, (condition,) = self.with_hidden(s, [step.condition])
         df = t.df.filter(self.col(condition, t))
-        return replace(s, df=df.select(*[quoted(c) for c in names]) if t is not s else df)
+        return replace(s, df=df.select(*[quoted(c) for c in names]) if t is not s else df, kept=(*s.kept, step.condition))
 
     def do_qualify(self, s: Stage, step: Qualify) -> Stage:
         name = "__qualify"
@@ -430,7 +436,7 @@ class Lowering:
     def do_group(self, s: Stage, step: Group) -> Stage:
         from . import spine
 
-        s = replace(s, spine=())
+        s = replace(s, spine=(), kept=())
         if any(step.spined):
             if step.mode:
                 warnings.warn("a spine has no meaning with rollup, cube or grouping sets; it is left out", stacklevel=2)
@@ -500,7 +506,7 @@ class Lowering:
         df = self.aggregate(s, source, keys, aggs, step.mode, step.sets)
         if step.mode:
             return s.closed(df)
-        return replace(s, df=df, grouped=(source, keys, aggs), order=())
+        return replace(s, df=df, grouped=(source, keys, aggs), order=(), kept=())
 
     def grouped_select(self, s: Stage, step: Select) -> Stage:
         group = s.pending

@@ -153,7 +153,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "pivot_group": ("from orders pivot max(o_orderkey) by o_orderstatus values ('F' as f, 'O' as o) group by o_orderpriority", "SELECT o_orderpriority, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY 1"),
     "pivot_dynamic": ("from orders select o_custkey, o_orderstatus, o_orderkey pivot max(o_orderkey) by o_orderstatus", "SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O, max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1"),
     "unpivot": ("from part select p_partkey, p_brand, p_type unpivot p_brand, p_type into kind, value", "SELECT p_partkey, 'p_brand' AS kind, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part"),
-    "col_explode": ("from embeddings explode embedding as x group by vec_id (# as n, round(sum(x), 3) as s)", "SELECT vec_id, count(*) AS n, round(sum(x), 3) AS s FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1"),
+    "col_explode": ("from embeddings explode embedding as x group by vec_id (# as n, round(sum(x), 3) + 0 as s)", "SELECT vec_id, count(*) AS n, round(sum(x), 3) + 0 AS s FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1"),
     "recurse": ("from nation select n_nationkey as id, n_regionkey, n_name stash as tree from tree where id = 0 recurse(n_regionkey, 3)", "WITH RECURSIVE r AS (SELECT n_nationkey AS id, n_regionkey, n_name, 1 AS _level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, n.n_regionkey, n.n_name, r._level + 1 FROM nation n JOIN r ON n.n_regionkey = r.id WHERE r._level < 3) SELECT * FROM r"),
     "stash": ("from orders group by o_custkey (# as n) stash as per_customer from per_customer group by n (# as customers)", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1"),
     "list_comp": ("from embeddings select vec_id, array_length([v for v in embedding if v > 0]) as pos", "SELECT vec_id, len(list_filter(embedding, lambda v: v > 0)) AS pos FROM embeddings"),
