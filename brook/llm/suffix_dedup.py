@@ -11,6 +11,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
   a logarithmic number of steps.  Neighbours give common extensions to the right; windows that start before the
   anchor need the same bytes to its left as well.  The smallest id over each set of equal windows decides.
 * Agreement found by hash is verified on the bytes; a collision makes the bucket start afresh with another base.
+* An anchor of more than ``hot`` documents (one near the edge of a very common passage has a context of its own in
+  each) is dealt to several groups of tiles.  Each sorts its own suffixes; the windows that have no smaller id there go
+  on by their bytes, so a window comes once from a group and the least id of all groups decides.
 * The verdicts return to the tiles, where the windows are laid over the texts.
 
 Whole texts that an earlier document has (by a 128-bit digest) go as a whole without taking part.  Long documents are
@@ -30,13 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID
+from .common import LAST_ID, stored
 from .text_bytes import BASE, mix, pieces, powers, prefix_hash, span_hash
 from .tiles import Found, Tile, bucket_bits, rows_of, shared_keys, shorten, tile_table
 
 LENGTH = 50
 SEED = 20
-CONTEXTS = "bucket int, tile long, n int, keys binary, firsts binary, left binary, right binary, context binary"
+#: Anchors of more documents than this are dealt to groups of about so many tiles.
+HOT_DOCS, GROUP_TILES = 20_000, 64
+CONTEXTS = "bucket int, salt long, tile long, n int, keys binary, firsts binary, left binary, right binary, context binary"
+#: A place is the number of a context in its row times this, and where its window starts.
+PLACES = 64
+DECIDED = "tile long, bucket int, salt long, masks binary, windows binary, firsts binary, places binary"
+WINDOWS = "window binary, first long, tile long, bucket int, place long"
 RESULT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -101,7 +110,7 @@ def digests(tile: Tile) -> np.ndarray:
 class Contexts:
     """The shared anchors of a tile and their distinct contexts, in an order that is the same on every run."""
 
-    def __init__(self, tile: Tile, found: Found, length: int, seed: int):
+    def __init__(self, tile: Tile, found: Found, length: int, seed: int, hot: int):
         side = length - seed
         firsts: dict[bytes, int] = {}
         own = digests(tile)
@@ -109,11 +118,12 @@ class Contexts:
         for name, i in zip(names, tile.ids.tolist()):
             firsts[name] = min(i, firsts.get(name, i))
         self.copy = np.array([name in found.digests or firsts[name] < i for name, i in zip(names, tile.ids.tolist())], dtype=bool)
-        doc, at, key, code, left, right = ([np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        doc, at, key, code, left, right, many = ([np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64, bool))
         for a, data, offsets, base, start, end, _ in pieces(tile.data, tile.offsets, length):
             where, h, prefix = anchors(data, offsets, length, seed)
             d = np.searchsorted(offsets, where, side="right") - 1
-            use = (found.counts(h) > 1) & ~self.copy[a + d] & (where >= start) & (where < end)
+            n = found.counts(h)
+            use = (n > 1) & ~self.copy[a + d] & (where >= start) & (where < end)
             where, h, d = where[use], h[use], d[use]
             lo, hi = np.maximum(where - side, offsets[d]), np.minimum(where + length, offsets[d + 1])
             l, r = where - lo, hi - where
@@ -123,7 +133,8 @@ class Contexts:
             key.append(shorten(h, found.bits))
             left.append(l)
             right.append(r)
-        self.doc, self.at, key, code, left, right = map(np.concatenate, (doc, at, key, code, left, right))
+            many.append(n[use] > hot)
+        self.doc, self.at, key, code, left, right, many = map(np.concatenate, (doc, at, key, code, left, right, many))
         order = np.lexsort((tile.ids[self.doc], code, key))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (code[order][1:] != code[order][:-1])
@@ -131,30 +142,35 @@ class Contexts:
         self.context = np.empty(len(order), dtype=np.int64)  # of each anchor
         self.context[order] = np.cumsum(new) - 1
         self.key, self.left, self.right = key[head], left[head], right[head]
-        self.first, self.place = tile.ids[self.doc[head]], self.at[head]
+        self.first, self.place, self.hot = tile.ids[self.doc[head]], self.at[head], many[head]
 
-    def table(self, tile: Tile, length: int, seed: int) -> Iterator[tuple]:
-        side = length - seed
+    def table(self, tile: Tile, length: int, seed: int, groups: int) -> Iterator[tuple]:
+        """A row for each bucket, and one for each bucket of hot anchors, salted by the tile."""
+        salt = 1 + int(mix(np.array([tile.number], dtype=np.uint64))[0] % np.uint64(groups))
+        for salt, chosen in ((0, np.flatnonzero(~self.hot)), (salt, np.flatnonzero(self.hot))):
+            yield from self._rows(tile, length, length - seed, salt, chosen)
+
+    def _rows(self, tile: Tile, length: int, side: int, salt: int, chosen: np.ndarray) -> Iterator[tuple]:
         span = np.arange(-side, length)
-        bucket = (self.key >> np.uint64(32)).astype(np.int64)
+        bucket = (self.key[chosen] >> np.uint64(32)).astype(np.int64)
         there, first = np.unique(bucket, return_index=True)
         for b, k0, k1 in zip(there.tolist(), first.tolist(), [*first.tolist()[1:], len(bucket)]):
-            own = slice(k0, k1)
+            own = chosen[k0:k1]
             place, left, right = self.place[own, None], self.left[own, None], self.right[own, None]
             inside = (span >= -left) & (span < right)
             text = np.where(inside, tile.data[np.clip(place + span, 0, len(tile.data) - 1)], 0).astype(np.uint8)
             keys = (self.key[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield b, tile.number, len(keys), keys.tobytes(), self.first[own].tobytes(), self.left[own].astype(np.uint8).tobytes(), self.right[own].astype(np.uint8).tobytes(), text.tobytes()
+            yield b, salt, tile.number, len(keys), keys.tobytes(), self.first[own].tobytes(), self.left[own].astype(np.uint8).tobytes(), self.right[own].astype(np.uint8).tobytes(), text.tobytes()
 
 
-def _send(bits: int, length: int, seed: int):
-    types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
-    names = ["bucket", "tile", "n", "keys", "firsts", "left", "right", "context"]
+def _send(bits: int, length: int, seed: int, hot: int, groups: int):
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    names = ["bucket", "salt", "tile", "n", "keys", "firsts", "left", "right", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             tile, found = Tile(row), Found(row["found"], bits)
-            out = list(Contexts(tile, found, length, seed).table(tile, length, seed))
+            out = list(Contexts(tile, found, length, seed, hot).table(tile, length, seed, groups))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -263,6 +279,7 @@ def _decide(length: int, seed: int):
             for c, t in (("keys", np.uint32), ("firsts", np.int64), ("left", np.uint8), ("right", np.uint8), ("context", np.uint8))
         )
         sizes = [r["n"] for r in rows]
+        salt = rows[0]["salt"]
         rows = [(r["bucket"], r["tile"]) for r in rows]
         context, left, right = context.reshape(-1, side + length), left.astype(np.int64), right.astype(np.int64)
         # equal contexts of several tiles are one, with the smallest id
@@ -282,22 +299,60 @@ def _decide(length: int, seed: int):
         masks = np.where(firsts > first[back], valid, mask[back]).astype(np.uint32)
         out, at = [], 0
         for (bucket, tile), n in zip(rows, sizes):
-            out.append((tile, bucket, masks[at : at + n].tobytes()))
+            own = slice(at, at + n)
+            # windows of hot anchors without a smaller id in this group
+            who, start = np.nonzero((((valid & ~masks)[own, None] >> every.astype(np.uint32)) & np.uint32(1)) if salt else np.zeros((0, side + 1)))
+            windows = context[own][who[:, None], (side - start)[:, None] + np.arange(length)]
+            out.append((tile, bucket, salt, masks[own].tobytes(), windows.tobytes(), firsts[own][who].tobytes(), (who * PLACES + start).tobytes()))
             at += n
-        types = (pa.int64(), pa.int32(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["tile", "bucket", "masks"])
+        types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["tile", "bucket", "salt", "masks", "windows", "firsts", "places"])
+
+    return run
+
+
+def _windows(length: int):
+    """One row for each window that groups of tiles left open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            first, place = np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["places"], np.int64)
+            for k in range(0, len(first), 10_000):
+                n = len(first[k : k + 10_000])
+                text = [r["windows"][j * length : (j + 1) * length] for j in range(k, k + n)]
+                cols = (pa.array(text, pa.binary()), pa.array(first[k : k + n]), pa.array([r["tile"]] * n, pa.int64()), pa.array([r["bucket"]] * n, pa.int32()), pa.array(place[k : k + n]))
+                yield pa.RecordBatch.from_arrays(list(cols), names=["window", "first", "tile", "bucket", "place"])
 
     return run
 
 
-def _apply(bits: int, length: int, seed: int):
+def _verdicts(own: Contexts, rows: list[dict]) -> np.ndarray:
+    """The masks of a tile's contexts; a row with a salt under 0 sets one more bit of a hot one."""
+    masks = np.zeros(len(own.key), dtype=np.uint32)
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    masks[~own.hot] = np.frombuffer(b"".join(r["masks"] for r in rows if r["salt"] == 0), dtype=np.uint32)
+    hot = np.frombuffer(b"".join(r["masks"] for r in rows if r["salt"] > 0), dtype=np.uint32).copy()
+    begin, at = {}, 0
+    for r in rows:
+        if r["salt"] > 0:
+            begin[r["bucket"]] = at
+            at += len(r["masks"]) // 4
+    for r in rows:
+        if r["salt"] < 0:
+            who, start = divmod(-1 - r["salt"], PLACES)
+            hot[begin[r["bucket"]] + who] |= np.uint32(1 << start)
+    masks[own.hot] = hot
+    return masks
+
+
+def _apply(bits: int, length: int, seed: int, hot: int):
     side = length - seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             tile, found = Tile(row), Found(row["found"], bits)
-            own = Contexts(tile, found, length, seed)
-            masks = np.frombuffer(b"".join(r["masks"] for r in sorted(row["masks"] or [], key=lambda r: r["bucket"])), dtype=np.uint32)
+            own = Contexts(tile, found, length, seed, hot)
+            masks = _verdicts(own, row["masks"] or [])
             step = np.zeros(len(tile.data) + 1, dtype=np.int32)
             if len(own.at):
                 mine = masks[own.context]
@@ -325,15 +380,22 @@ def _apply(bits: int, length: int, seed: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT_DOCS, group_tiles: int = GROUP_TILES
+) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256."""
     tiles = tile_table(docs, id_col, text_col)
-    bits = bucket_bits(tiles)
+    bits, groups = bucket_bits(tiles), 1 + tiles.count() // group_tiles
     found = shared_keys(tiles, anchor_keys(length, seed), bits, digests)
     met = tiles.join(found, "tile", "left")
-    masks = met.mapInArrow(_send(bits, length, seed), CONTEXTS).groupBy("bucket").applyInArrow(_decide(length, seed), "tile long, bucket int, masks binary")
-    per_tile = masks.groupBy("tile").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
-    out = met.join(per_tile, "tile", "left").mapInArrow(_apply(bits, length, seed), RESULT)
+    sent = met.mapInArrow(_send(bits, length, seed, hot, groups), CONTEXTS)
+    decided = stored(docs.sparkSession, sent.groupBy("bucket", "salt").applyInArrow(_decide(length, seed), DECIDED))
+    masks = decided.select("tile", "bucket", "salt", "masks")
+    opened = decided.filter("salt > 0 and length(windows) > 0").drop("masks").mapInArrow(_windows(length), WINDOWS)
+    least = opened.groupBy("window").agg(F.min("first").alias("least"))
+    later = opened.join(least, "window").filter("first > least").select("tile", "bucket", (-1 - F.col("place")).alias("salt"), F.lit(b"").alias("masks"))
+    per_tile = masks.unionByName(later).groupBy("tile").agg(F.collect_list(F.struct("bucket", "salt", "masks")).alias("masks"))
+    out = met.join(per_tile, "tile", "left").mapInArrow(_apply(bits, length, seed, hot), RESULT)
     return out.select(
         F.when(F.col("did") == LAST_ID, F.lit(None).cast("long")).otherwise(F.col("did")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )

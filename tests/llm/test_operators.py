@@ -82,6 +82,8 @@ def test_suffix_dedup(docs, empty):
         want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got(suffix_dedup(docs), *columns) == want
+    # every shared anchor dealt to groups of a tile or two
+    assert got(suffix_dedup(docs.repartition(9), hot=1, group_tiles=1), *columns) == want
     assert suffix_dedup(empty).count() == 0
 
 
