@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, spread_join, stored
+from .common import LAST_ID, split_join, stored
 from .components import components
 from .text_bytes import LOWER, chunks, mix, shingles
 from .tiles import Found, Tile, bucket_bits, rows_of, shared_keys, tile_table
@@ -129,7 +129,7 @@ def favourites(placed: DataFrame, r: int, total: int) -> DataFrame:
     rank = F.struct(F.xxhash64("did", F.lit(r)).alias("h"), "did", "c") if r else F.struct(F.col("did").alias("h"), "did", "c")
     speaker = placed.groupBy("key").agg(F.min(rank).alias("s"), F.min("c").alias("m"), F.max("c").alias("x"), F.count(F.lit(1)).alias("n")).filter("m < x")
     speaker = stored(placed.sparkSession, speaker.select("key", F.col("s.did").alias("to"), F.col("s.c").alias("to_c"), "n"))
-    votes = spread_join(placed.drop("n"), speaker, "key", total, F.xxhash64("key", "did")).filter("c <> to_c")
+    votes = split_join(placed.drop("n"), speaker, "key", total).filter("c <> to_c")
     best = votes.groupBy("did", "to").agg(F.count(F.lit(1)).alias("k")).groupBy("did").agg(F.max(F.struct("k", "to")).alias("v"))
     return best.select(F.col("v.to").alias("a"), F.col("did").alias("b"))
 
@@ -182,7 +182,7 @@ def ngram_join(
     sets = classes.select("did", "n", "tokens")
     post = stored(spark, classes.select("did", "n", F.explode("keys").alias("key")))
     shared = post.groupBy("key").agg(F.min("did").alias("m"), F.max("did").alias("x"), F.count(F.lit(1)).alias("n")).filter("m < x").select("key", "n")
-    post = stored(spark, spread_join(post, stored(spark, shared), "key", post.count(), F.xxhash64("key", "did")))
+    post = stored(spark, split_join(post, stored(spark, shared), "key", post.count()))
     total = post.count()
 
     # rounds in which each class is verified against one other: of those that speak for its keys, the one it shares most with
@@ -195,9 +195,9 @@ def ngram_join(
         if new.isEmpty():
             break
     # ... then whatever pairs of classes still lie in different components
-    placed = with_component(post, comp)
+    placed = stored(spark, with_component(post, comp))
     apart = placed.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x"), F.count(F.lit(1)).alias("n")).filter("m < x").select("key", "n")
-    rest = stored(spark, spread_join(placed, stored(spark, apart), "key", total, F.xxhash64("key", "did")))
+    rest = stored(spark, split_join(placed, stored(spark, apart), "key", total))
     open_pairs = possible_pairs(spark, rest, sets, percent)
     more = verified(spark, open_pairs, sets, percent)
 

@@ -17,7 +17,7 @@ import corpus
 import corpus_pipeline
 
 from brook.llm import exact_dedup as exact
-from brook.llm.common import spread_join
+from brook.llm.common import split_join, spread_join
 from brook.llm.components import components
 from brook.llm.language_model import lm_score
 from brook.llm.license_scan import TEMPLATES, license_scan, similarity_join, template_words
@@ -153,6 +153,14 @@ def test_pieces_of_a_text_have_its_words():
     assert (word_hashes(np.full(5000, 97, dtype=np.uint8), np.array([0, 5000]), 300)[0] == word_hashes(np.full(5000, 97, dtype=np.uint8), np.array([0, 5000]))[0]).all()
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr("brook.llm.common.hot_from", lambda total: 50)
+    rows = spark.createDataFrame([(7 if k < 200 else k % 40, k) for k in range(400)], "key long, did long")
+    found = spark.createDataFrame([(k, k * 2, 200 if k == 7 else 5) for k in range(0, 30)], "key long, v long, n long")
+    want = sorted((k, d, k * 2) for k, d in map(tuple, rows.collect()) if k < 30)
+    assert sorted(map(tuple, split_join(rows, found, "key", 400).collect())) == want
+
+
 def test_hot_keys_are_spread(spark, monkeypatch):
     monkeypatch.setattr("brook.llm.common.hot_from", lambda total: 50)
     rows = spark.range(500).selectExpr("id", "if(id < 300, -1, id % 40) as key").filter("key <> 7")
