@@ -46,7 +46,7 @@ def _own_dir() -> str:
 def stored(spark: SparkSession, df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read again: lost executors then cost nothing above it."""
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
