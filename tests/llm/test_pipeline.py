@@ -52,3 +52,12 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_mixture_moves_shares(spark):
+    """900 and 100 documents of two languages: the small one stays whole, the large one by 9 to the power -0.3 (0.52)."""
+    rows = [(k, f"some words of document {k}", "de" if k % 10 == 0 else "en", "a", 30) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["lang"] for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    assert kept.count("de") == 100
+    assert 420 < kept.count("en") < 510
