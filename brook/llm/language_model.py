@@ -11,8 +11,9 @@
   once in each round.  A task goes through its own documents from the common model; the tasks' vectors are then
   averaged, each weighted by how often the task has used it.
 
-A sum over all words for each token would cost more than all else, so the normaliser of a context is taken from its
-expansion to second order around the word frequencies, in q; a score over 0 counts as 0.
+The normaliser of a context is the whole sum over all classes of exp(q . r(w) + b(w)).  q has a part from each of the two
+words before, so every term is a factor of the one times a factor of the other: the factors are made once for each different
+word, and a task takes the sum once for each of its different contexts, as a product of two rows of factors.
 P(token) = P(class | context) * P(token | class),
 where a form class gives a word (c + 1) / (N_class + V_class + 1), c being its count, and an unseen word 1 over that.
 The vectors depend on how the documents are dealt to tasks, the counts and base scores do not.
@@ -50,6 +51,9 @@ DIMENSIONS = 16
 LEAST, LEAST_OF_ROOT = 3 * (2 * DIMENSIONS + 1) + 1, 1 / 40
 #: Tokens of one step and noise words they share (products this small stay in one thread).
 STEP, NOISE = 512, 20
+#: Contexts and classes that are summed at once, and tokens (these at least, and so many of each class) whose contexts are.
+CONTEXTS, SUMMED = 2048, 256
+WAITING, WAITING_OF_CLASS = 1 << 20, 32
 #: Words whose vectors travel in one row.
 BLOCK = 16
 WIDTH = 2 * DIMENSIONS + 1
@@ -349,13 +353,51 @@ def train(codes: np.ndarray, counts: np.ndarray, steps: int = 3000, rate: float
     return model
 
 
-def normaliser(model: dict[str, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-    """c, m, S with log of the sum over words of exp(q . r(w) + b(w)) about c + q . m + q . S q."""
-    weight = np.exp(model["bias"].astype(np.float64))
-    total, vectors = weight.sum(), model["word"].astype(np.float64)
-    mean = weight @ vectors / total
-    spread = (vectors * (weight / total)[:, None]).T @ vectors - np.outer(mean, mean)
-    return float(np.log(total)), mean.astype(np.float32), (spread / 2).astype(np.float32)
+def log_sums(a: np.ndarray, b: np.ndarray, word: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log of the sum over all words of exp((a[one] + b[two]) . r(w) + b(w)), for each pair of one and two."""
+    ones, i = np.unique(one, return_inverse=True)
+    twos, j = np.unique(two, return_inverse=True)
+    a, b, none = a[ones], b[twos], np.zeros_like(bias)
+    most_a, most_b, total = _most(a, word, bias), _most(b, word, none), np.zeros(len(one))
+    for k in range(0, len(word), SUMMED):
+        x, y = np.exp(_terms(a, word, bias, k) - most_a), np.exp(_terms(b, word, none, k) - most_b)
+        for m in range(0, len(one), CONTEXTS):
+            s = slice(m, m + CONTEXTS)
+            total[s] += _dots(x.take(i[s], axis=0), y.take(j[s], axis=0))
+    far = total < 1e-20  # 32 bits don't hold the factors of such a sum: it is taken term by term
+    total[~far] = np.log(total[~far]) + (most_a[i[~far]] + most_b[j[~far]])[:, 0]
+    for m in np.flatnonzero(far):
+        terms = (a[i[m]].astype(np.float64) + b[j[m]]) @ word.T + bias
+        total[m] = terms.max() + np.log(np.exp(terms - terms.max()).sum())
+    return total
+
+
+def _terms(q: np.ndarray, word: np.ndarray, bias: np.ndarray, k: int) -> np.ndarray:
+    return q @ word[k : k + SUMMED].T + bias[k : k + SUMMED]
+
+
+def _most(q: np.ndarray, word: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = np.full((len(q), 1), -np.inf, np.float32)
+    for k in range(0, len(word), SUMMED):
+        np.maximum(out, _terms(q, word, bias, k).max(axis=1, keepdims=True), out=out)
+    return out
+
+
+class Normaliser:
+    """The log of the normaliser of contexts (one * classes + two), each summed once and kept."""
+
+    def __init__(self, model: dict[str, np.ndarray]):
+        self.a, self.b = (model["position"][k] * model["context"] for k in (0, 1))
+        self.word, self.bias = model["word"][:-1], model["bias"][:-1]  # the last class, a start, is context only
+        self.codes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        asked, back = np.unique(codes, return_inverse=True)
+        place = np.searchsorted(self.codes, asked)
+        new = np.append(self.codes, -1)[place] != asked
+        logs = log_sums(self.a, self.b, self.word, self.bias, *np.divmod(asked[new], len(self.a)))
+        self.codes, self.logs = np.insert(self.codes, place[new], asked[new]), np.insert(self.logs, place[new], logs)
+        return self.logs[np.searchsorted(self.codes, asked)][back]
 
 
 def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -372,16 +414,27 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
 
 def _score(shared):
     names = [x.split(" ")[0] for x in SCORED.split(", ")]
+    at_tokens, at_model = names.index("n_tokens"), names.index("model")
     types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
         classes, size, ends = classes_of(value), value["size"], value["ends"]
-        first, second = (value["model"]["position"][k] * value["model"]["context"] for k in (0, 1))
-        c, mean, spread = value["normaliser"]
-        vectors, bias = value["model"]["word"] - mean, value["model"]["bias"]
+        normaliser = Normaliser(value["model"])
+        first, second, vectors, bias = normaliser.a, normaliser.b, value["model"]["word"], value["model"]["bias"]
         gain = np.log10(classes.count + 1)
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, tokens = TaskContext.get().partitionId(), 0, 0
+        waiting: list[tuple] = []  # columns, and the contexts of their tokens
+
+        def normalised() -> Iterator[pa.RecordBatch]:
+            logs = normaliser(np.concatenate([codes for _, codes in waiting])) / np.log(10)
+            for cols, codes in waiting:
+                n_tokens = cols[at_tokens].to_numpy()
+                ends, logs, some = np.cumsum(n_tokens), logs[len(codes) :], logs[: len(codes)]
+                cols[at_model] = pa.array(cols[at_model].to_numpy() - np.add.reduceat(some, ends - n_tokens))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            waiting.clear()
+
         for (ids, held), split in _texts(batches):
             n = len(split)
             index, cls, doc, rare = classes.index(split)
@@ -389,12 +442,12 @@ def _score(shared):
             known = index >= 0
             own = np.where(known, gain[np.maximum(index, 0)] if len(gain) else 0.0, 0.0)
             base = np.bincount(doc, weights=own, minlength=n) + log10(ends + 1)
-            scores = bias[target] - c
+            scores = bias[target]
             for k in range(0, len(target), 8 * STEP):
                 x = slice(k, k + 8 * STEP)
                 q = first[one[x]] + second[two[x]]
-                scores[x] += _dots(q, vectors[target[x]] - q @ spread)
-            model = np.bincount(of, weights=np.minimum(scores, 0.0) / np.log(10), minlength=n)
+                scores[x] += _dots(q, vectors[target[x]])
+            model = np.bincount(of, weights=scores / np.log(10), minlength=n)
             by_form = cls >= classes.own
             model += np.bincount(doc, weights=np.where(by_form, own - size[np.where(by_form, cls - classes.own, 0)], 0.0), minlength=n)
             some = np.bincount(doc, weights=known, minlength=n).astype(np.int64) + int(ends > 0)
@@ -405,7 +458,13 @@ def _score(shared):
                 [list(t) for t in tallies], [list(t.values()) for t in tallies],
             )
             made += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            waiting.append(([pa.array(c, t) for c, t in zip(cols, types)], one * classes.size + two))
+            tokens += len(target)
+            if tokens >= max(WAITING, WAITING_OF_CLASS * classes.size):
+                yield from normalised()
+                tokens = 0
+        if waiting:
+            yield from normalised()
 
     return run
 
@@ -436,7 +495,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     seen[-1] = 1e-9  # a start is context only
     model = train_all(training, words, least, seen / seen.sum())
 
-    shared = spark.sparkContext.broadcast({"words": words, "least": least, "model": model, "normaliser": normaliser(model), "size": size, "ends": ends})
+    shared = spark.sparkContext.broadcast({"words": words, "least": least, "model": model, "size": size, "ends": ends})
     scored = stored(spark, rows.mapInArrow(_score(shared), SCORED))
     looked_up = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("word"), F.col("w.times").alias("tf"))
     found = (

@@ -351,6 +351,61 @@ def test_lm_is_normalised():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-3)
 
 
+def test_lm_scores_are_normalised_over_all_classes(spark, monkeypatch):
+    """Scores against the whole softmax of the trained model, with and without several groups of contexts."""
+    from brook.llm import language_model as lm
+
+    rng, models = np.random.default_rng(5), []
+    train_all = lm.train_all
+    monkeypatch.setattr(lm, "train_all", lambda *a, **k: models.append(train_all(*a, **k)) or models[-1])
+    text = lambda ks: " ".join(f"aa{k:02d} bb{k:02d}x" for k in ks) + rng.choice(["", " some rare.", " Äx"])
+    texts = [text(rng.integers(0, 40, 60).tolist()) for _ in range(300)] + ["", "never seen"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    score = {r["doc_id"]: r["score"] for r in lm.lm_score(rows, least=100).collect()}
+    (model,) = models
+
+    split = [lower(t).encode().split() for t in texts]
+    count = collections.Counter(w for k, ws in enumerate(split) if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    own = sorted((w for w in count if count[w] >= 100), key=lambda w: (-count[w], w))
+    number = {w: k for k, w in enumerate(own)}
+    form_of = lambda w: len(own) + lm.form(w)
+    rare = [w for w in count if w not in number]
+    whole = {f: sum(count[w] + 1 for w in rare if form_of(w) == f) + 1 for f in range(len(own), len(own) + lm.FORMS)}
+    assert rare and len(own) > 50 and len(model["bias"]) == len(own) + lm.FORMS + 2
+    m = {k: v.astype(float) for k, v in model.items()}
+    for k, words in enumerate(split):
+        one = two = len(own) + lm.FORMS + 1
+        want = 0.0
+        for w in [*words, None]:
+            cls = len(own) + lm.FORMS if w is None else number.get(w, form_of(w))
+            s = ((m["position"][0] * m["context"][one] + m["position"][1] * m["context"][two]) @ m["word"].T + m["bias"])[:-1]
+            want += (s[cls] - math.log(np.exp(s).sum())) / math.log(10)
+            if cls in whole:
+                want += math.log10((count[w] + 1) / whole[cls])
+            one, two = two, cls
+        assert score[k] == pytest.approx(want, abs=2e-3)
+
+
+@pytest.mark.parametrize("length", [0.5, 40.0])
+def test_normaliser_sums_every_class(length, monkeypatch):
+    from brook.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "SUMMED", 7)
+    monkeypatch.setattr(lm, "CONTEXTS", 11)
+    rng = np.random.default_rng(2)
+    model = lm.new_model(np.full(60, 1 / 60))
+    model["word"] = rng.normal(0, length, model["word"].shape).astype(np.float32)
+    model["context"] = rng.normal(0, length, model["context"].shape).astype(np.float32)
+    model["bias"][-1] = 9  # a start never follows
+    dense = [k for k in range(3600) if k // 60 == 3 or k % 60 == 8]  # words that meet all others
+    for codes in (rng.integers(0, 3600, 200), np.unique([*dense, *rng.integers(0, 3600, 90)]), np.arange(3600), np.zeros(0, np.int64)):
+        one, two = codes // 60, codes % 60
+        q = (model["context"][one] + model["context"][two]).astype(float)
+        want = np.logaddexp.reduce(q @ model["word"][:-1].T.astype(float) + model["bias"][:-1], axis=1)
+        found = lm.log_sums(model["context"], model["context"], model["word"][:-1], model["bias"][:-1], one, two)
+        assert np.allclose(found, want, rtol=1e-5, atol=1e-5)
+
+
 def test_toxicity(docs, labels, empty):
     out = toxicity(docs, labels).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
     assert out.filter("toxic is not null and predicted <> toxic").count() == 0
