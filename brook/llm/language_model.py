@@ -12,8 +12,8 @@
   averaged, each weighted by how often the task has used it.
 
 The normaliser of a context is the whole sum over all classes of exp(q . r(w) + b(w)).  q has a part from each of the two
-words before, so every term is a factor of the one times a factor of the other: the factors are made once for each different
-word, and a task takes the sum once for each of its different contexts, as a product of two rows of factors.
+words before, so every term is a factor of the one times a factor of the other, and the sum a product of two rows of factors.
+Contexts are dealt to tasks by their first word; each different one of a task is summed once.
 P(token) = P(class | context) * P(token | class),
 where a form class gives a word (c + 1) / (N_class + V_class + 1), c being its count, and an unseen word 1 over that.
 The vectors depend on how the documents are dealt to tasks, the counts and base scores do not.
@@ -51,15 +51,15 @@ DIMENSIONS = 16
 LEAST, LEAST_OF_ROOT = 3 * (2 * DIMENSIONS + 1) + 1, 1 / 40
 #: Tokens of one step and noise words they share (products this small stay in one thread).
 STEP, NOISE = 512, 20
-#: Contexts and classes that are summed at once, and tokens (these at least, and so many of each class) whose contexts are.
-CONTEXTS, SUMMED = 2048, 256
-WAITING, WAITING_OF_CLASS = 1 << 20, 32
+#: Contexts and classes that are summed at once, how many times the needed products a product of whole tables may have, and
+#: tokens whose contexts one task takes.
+CONTEXTS, SUMMED, DENSE, PART = 2048, 128, 16, 1 << 21
 #: Words whose vectors travel in one row.
 BLOCK = 16
 WIDTH = 2 * DIMENSIONS + 1
 MOVES = "block int, moves binary, weights binary"
 COUNTS = "word binary, form int, c long"
-SCORED = "rid long, id long, held boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
+SCORED = "rid long, id long, held boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>, contexts binary"
 
 
 def held_out(id_col: str = "doc_id", of: int = 7, part: int = 2) -> Column:
@@ -357,47 +357,84 @@ def log_sums(a: np.ndarray, b: np.ndarray, word: np.ndarray, bias: np.ndarray, o
     """log of the sum over all words of exp((a[one] + b[two]) . r(w) + b(w)), for each pair of one and two."""
     ones, i = np.unique(one, return_inverse=True)
     twos, j = np.unique(two, return_inverse=True)
-    a, b, none = a[ones], b[twos], np.zeros_like(bias)
-    most_a, most_b, total = _most(a, word, bias), _most(b, word, none), np.zeros(len(one))
+    a, b, longest = a[ones], b[twos], np.sqrt(_dots(word, word).max())
+    most_a, most_b = (np.sqrt(_dots(x, x))[:, None] * longest for x in (a, b))  # no product is above these
+    bias_most = bias.max()
+    # words that meet many others are multiplied with all of them, the pairs that are left one by one
+    many_one = np.bincount(i, minlength=len(ones)) * DENSE > len(twos)
+    by_one = many_one[i]
+    many_two = np.bincount(j[~by_one], minlength=len(twos)) * DENSE > len(ones)
+    by_two = many_two[j] & ~by_one
+    rest = np.flatnonzero(~by_one & ~by_two)
+    i_rest, j_rest, total = i[rest], j[rest], np.zeros(len(one))
+    of_one, of_two = np.zeros((many_one.sum(), len(twos)), np.float32), np.zeros((many_two.sum(), len(ones)), np.float32)
     for k in range(0, len(word), SUMMED):
-        x, y = np.exp(_terms(a, word, bias, k) - most_a), np.exp(_terms(b, word, none, k) - most_b)
-        for m in range(0, len(one), CONTEXTS):
-            s = slice(m, m + CONTEXTS)
-            total[s] += _dots(x.take(i[s], axis=0), y.take(j[s], axis=0))
-    far = total < 1e-20  # 32 bits don't hold the factors of such a sum: it is taken term by term
-    total[~far] = np.log(total[~far]) + (most_a[i[~far]] + most_b[j[~far]])[:, 0]
+        some = word[k : k + SUMMED].T
+        x, y = np.exp(a @ some + (bias[k : k + SUMMED] - bias_most) - most_a), np.exp(b @ some - most_b)
+        of_one += x[many_one] @ y.T
+        of_two += y[many_two] @ x.T
+        for m in range(0, len(rest), CONTEXTS):
+            at = slice(m, m + CONTEXTS)
+            total[rest[at]] += _dots(x.take(i_rest[at], axis=0), y.take(j_rest[at], axis=0))
+    total[by_one] = of_one[(np.cumsum(many_one) - 1)[i[by_one]], j[by_one]]
+    total[by_two] = of_two[(np.cumsum(many_two) - 1)[j[by_two]], i[by_two]]
+    far = total < 1e-27  # 32 bits don't hold the terms of such a sum: it is taken again term by term
+    total[~far] = np.log(total[~far]) + (most_a[i[~far]] + most_b[j[~far]])[:, 0] + bias_most
     for m in np.flatnonzero(far):
         terms = (a[i[m]].astype(np.float64) + b[j[m]]) @ word.T + bias
         total[m] = terms.max() + np.log(np.exp(terms - terms.max()).sum())
     return total
 
 
-def _terms(q: np.ndarray, word: np.ndarray, bias: np.ndarray, k: int) -> np.ndarray:
-    return q @ word[k : k + SUMMED].T + bias[k : k + SUMMED]
+def _deal_contexts(size: int, parts: int):
+    """The contexts of the tokens of some rows, dealt to parts by their first word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, contexts = batch.column(0).to_numpy(), batch.column(1)
+            ends = np.frombuffer(contexts.buffers()[1], np.int32)[contexts.offset : contexts.offset + len(rids) + 1].astype(np.int64)
+            codes = np.frombuffer(contexts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64)
+            row = np.repeat(np.arange(len(rids), dtype=np.int32), np.diff(ends) // 8)
+            for k in range(0, len(codes), 1 << 20):
+                some, of = codes[k : k + (1 << 20)], row[k : k + (1 << 20)]
+                order = np.argsort(some)
+                some, of = some[order], of[order]
+                part = some // size % parts
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
+                first, last = of.min(), of.max() + 1
+                ids = rids[first:last].tobytes()
+                for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                    x = order[cut[p] : cut[p + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p], pa.int32()), *[pa.array([v], pa.binary()) for v in (ids, (of[x] - first).tobytes(), some[x].tobytes())]], names=["part", "rids", "rows", "codes"]
+                    )
 
-def _most(q: np.ndarray, word: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = np.full((len(q), 1), -np.inf, np.float32)
-    for k in range(0, len(word), SUMMED):
-        np.maximum(out, _terms(q, word, bias, k).max(axis=1, keepdims=True), out=out)
-    return out
+    return run
 
 
-class Normaliser:
-    """The log of the normaliser of contexts (one * classes + two), each summed once and kept."""
+def _sum_contexts(shared):
+    """The logs of the normalisers of each row's contexts in a part, added; each different context is summed once."""
 
-    def __init__(self, model: dict[str, np.ndarray]):
-        self.a, self.b = (model["position"][k] * model["context"] for k in (0, 1))
-        self.word, self.bias = model["word"][:-1], model["bias"][:-1]  # the last class, a start, is context only
-        self.codes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found = shared.value["model"], []
+        for batch in batches:
+            for rids, rows, codes in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                found.append((np.frombuffer(rids, np.int64), np.frombuffer(rows, np.int32), np.frombuffer(codes, np.int64)))
+        if not found:
+            return
+        asked, back = np.unique(np.concatenate([codes for _, _, codes in found]), return_inverse=True)
+        a, b = (model["position"][k] * model["context"] for k in (0, 1))
+        one, two = np.divmod(asked, len(a))
+        logs = log_sums(a, b, model["word"][:-1], model["bias"][:-1], one, two) / np.log(10)  # the last class, a start, is context only
+        at = 0
+        for rids, rows, codes in found:
+            added = np.bincount(rows, weights=logs[back[at : at + len(codes)]], minlength=len(rids))
+            met = np.bincount(rows, minlength=len(rids)) > 0
+            at += len(codes)
+            yield pa.RecordBatch.from_arrays([pa.array(rids[met]), pa.array(added[met])], names=["rid", "log"])
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        asked, back = np.unique(codes, return_inverse=True)
-        place = np.searchsorted(self.codes, asked)
-        new = np.append(self.codes, -1)[place] != asked
-        logs = log_sums(self.a, self.b, self.word, self.bias, *np.divmod(asked[new], len(self.a)))
-        self.codes, self.logs = np.insert(self.codes, place[new], asked[new]), np.insert(self.logs, place[new], logs)
-        return self.logs[np.searchsorted(self.codes, asked)][back]
+    return run
 
 
 def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -414,27 +451,15 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
 
 def _score(shared):
     names = [x.split(" ")[0] for x in SCORED.split(", ")]
-    at_tokens, at_model = names.index("n_tokens"), names.index("model")
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
         classes, size, ends = classes_of(value), value["size"], value["ends"]
-        normaliser = Normaliser(value["model"])
-        first, second, vectors, bias = normaliser.a, normaliser.b, value["model"]["word"], value["model"]["bias"]
+        first, second = (value["model"]["position"][k] * value["model"]["context"] for k in (0, 1))
+        vectors, bias = value["model"]["word"], value["model"]["bias"]
         gain = np.log10(classes.count + 1)
-        part, made, tokens = TaskContext.get().partitionId(), 0, 0
-        waiting: list[tuple] = []  # columns, and the contexts of their tokens
-
-        def normalised() -> Iterator[pa.RecordBatch]:
-            logs = normaliser(np.concatenate([codes for _, codes in waiting])) / np.log(10)
-            for cols, codes in waiting:
-                n_tokens = cols[at_tokens].to_numpy()
-                ends, logs, some = np.cumsum(n_tokens), logs[len(codes) :], logs[: len(codes)]
-                cols[at_model] = pa.array(cols[at_model].to_numpy() - np.add.reduceat(some, ends - n_tokens))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-            waiting.clear()
-
+        part, made = TaskContext.get().partitionId(), 0
         for (ids, held), split in _texts(batches):
             n = len(split)
             index, cls, doc, rare = classes.index(split)
@@ -453,18 +478,15 @@ def _score(shared):
             some = np.bincount(doc, weights=known, minlength=n).astype(np.int64) + int(ends > 0)
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))]).tolist()
             tallies = [Counter(rare[a:b]) for a, b in zip(cut, cut[1:])]
+            n_tokens, codes = np.bincount(of, minlength=n), one * classes.size + two
+            ends_at = np.concatenate([[0], np.cumsum(8 * n_tokens)]).astype(np.int32)
             cols = (
-                np.arange(made, made + n) + (part << 36), ids, held, np.bincount(of, minlength=n), some, base, model,
+                np.arange(made, made + n) + (part << 36), ids, held, n_tokens, some, base, model,
                 [list(t) for t in tallies], [list(t.values()) for t in tallies],
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends_at), pa.py_buffer(codes)]),
             )
             made += n
-            waiting.append(([pa.array(c, t) for c, t in zip(cols, types)], one * classes.size + two))
-            tokens += len(target)
-            if tokens >= max(WAITING, WAITING_OF_CLASS * classes.size):
-                yield from normalised()
-                tokens = 0
-        if waiting:
-            yield from normalised()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, (list, np.ndarray)) else c for c, t in zip(cols, types)], names=names)
 
     return run
 
@@ -503,13 +525,16 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         .groupBy("rid")
         .agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("gain"))
     )
+    parts = max(4, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // PART + 1)
+    dealt = scored.select("rid", "contexts").mapInArrow(_deal_contexts(len(seen), parts), "part int, rids binary, rows binary, codes binary")
+    whole = dealt.repartitionById(parts, F.col("part")).mapInArrow(_sum_contexts(shared), "rid long, log double").groupBy("rid").agg(F.sum("log").alias("whole"))
     n_train, n_words = total
-    return scored.drop("rare", "times").join(found, "rid", "left").select(
+    return scored.drop("rare", "times", "contexts").join(found, "rid", "left").join(whole, "rid").select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * log10(n_train + n_words + 1)).alias("base_score"),
-        (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (F.col("model") - F.col("whole") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
