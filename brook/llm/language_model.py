@@ -11,9 +11,11 @@
   once in each round.  A task goes through its own documents from the common model; the tasks' vectors are then
   averaged, each weighted by how often the task has used it.
 
-The normaliser of a context is the whole sum over all classes of exp(q . r(w) + b(w)).  q has a part from each of the two
-words before, so every term is a factor of the one times a factor of the other, and the sum a product of two rows of factors.
-Contexts are dealt to tasks by their first word; each different one of a task is summed once.
+The classes stand on two levels: those of largest bias alone, the others in groups of about the square root of their number,
+halved from each other by where their vectors spread most.  A group has a vector (the mean of its classes') and a bias (the log of
+the sum of exp(b)) as a class has, and P(class | context) is the softmax over all that stands on the upper level, times that over
+the whole group for a class in one.  Both are summed in full, so the chances of all classes add up to 1, at a cost that grows with
+the root of the classes.  A model of a few classes (``ALONE``) has the upper level only.
 P(token) = P(class | context) * P(token | class),
 where a form class gives a word (c + 1) / (N_class + V_class + 1), c being its count, and an unseen word 1 over that.
 The vectors depend on how the documents are dealt to tasks, the counts and base scores do not.
@@ -51,15 +53,16 @@ DIMENSIONS = 16
 LEAST, LEAST_OF_ROOT = 3 * (2 * DIMENSIONS + 1) + 1, 1 / 40
 #: Tokens of one step and noise words they share (products this small stay in one thread).
 STEP, NOISE = 512, 20
-#: Contexts and classes that are summed at once, how many times the needed products a product of whole tables may have, and
-#: tokens whose contexts one task takes.
-CONTEXTS, SUMMED, DENSE, PART = 2048, 128, 16, 1 << 21
+#: Classes that stand alone on the upper level, and how many others stay together at least where they are more.
+ALONE, GROUP = 128, 128
+#: Contexts and classes that are summed at once, and texts that are scored at once (grouped tokens make larger products).
+CONTEXTS, SUMMED, SCORED_TEXTS = 1024, 256, 512
 #: Words whose vectors travel in one row.
 BLOCK = 16
 WIDTH = 2 * DIMENSIONS + 1
 MOVES = "block int, moves binary, weights binary"
 COUNTS = "word binary, form int, c long"
-SCORED = "rid long, id long, held boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>, contexts binary"
+SCORED = "rid long, id long, held boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
 
 
 def held_out(id_col: str = "doc_id", of: int = 7, part: int = 2) -> Column:
@@ -355,86 +358,68 @@ def train(codes: np.ndarray, counts: np.ndarray, steps: int = 3000, rate: float
 
 def log_sums(a: np.ndarray, b: np.ndarray, word: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """log of the sum over all words of exp((a[one] + b[two]) . r(w) + b(w)), for each pair of one and two."""
-    ones, i = np.unique(one, return_inverse=True)
-    twos, j = np.unique(two, return_inverse=True)
-    a, b, longest = a[ones], b[twos], np.sqrt(_dots(word, word).max())
-    most_a, most_b = (np.sqrt(_dots(x, x))[:, None] * longest for x in (a, b))  # no product is above these
-    bias_most = bias.max()
-    # words that meet many others are multiplied with all of them, the pairs that are left one by one
-    many_one = np.bincount(i, minlength=len(ones)) * DENSE > len(twos)
-    by_one = many_one[i]
-    many_two = np.bincount(j[~by_one], minlength=len(twos)) * DENSE > len(ones)
-    by_two = many_two[j] & ~by_one
-    rest = np.flatnonzero(~by_one & ~by_two)
-    i_rest, j_rest, total = i[rest], j[rest], np.zeros(len(one))
-    of_one, of_two = np.zeros((many_one.sum(), len(twos)), np.float32), np.zeros((many_two.sum(), len(ones)), np.float32)
-    for k in range(0, len(word), SUMMED):
-        some = word[k : k + SUMMED].T
-        x, y = np.exp(a @ some + (bias[k : k + SUMMED] - bias_most) - most_a), np.exp(b @ some - most_b)
-        of_one += x[many_one] @ y.T
-        of_two += y[many_two] @ x.T
-        for m in range(0, len(rest), CONTEXTS):
-            at = slice(m, m + CONTEXTS)
-            total[rest[at]] += _dots(x.take(i_rest[at], axis=0), y.take(j_rest[at], axis=0))
-    total[by_one] = of_one[(np.cumsum(many_one) - 1)[i[by_one]], j[by_one]]
-    total[by_two] = of_two[(np.cumsum(many_two) - 1)[j[by_two]], i[by_two]]
-    far = total < 1e-27  # 32 bits don't hold the terms of such a sum: it is taken again term by term
-    total[~far] = np.log(total[~far]) + (most_a[i[~far]] + most_b[j[~far]])[:, 0] + bias_most
-    for m in np.flatnonzero(far):
-        terms = (a[i[m]].astype(np.float64) + b[j[m]]) @ word.T + bias
-        total[m] = terms.max() + np.log(np.exp(terms - terms.max()).sum())
-    return total
-
-
-def _deal_contexts(size: int, parts: int):
-    """The contexts of the tokens of some rows, dealt to parts by their first word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids, contexts = batch.column(0).to_numpy(), batch.column(1)
-            ends = np.frombuffer(contexts.buffers()[1], np.int32)[contexts.offset : contexts.offset + len(rids) + 1].astype(np.int64)
-            codes = np.frombuffer(contexts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64)
-            row = np.repeat(np.arange(len(rids), dtype=np.int32), np.diff(ends) // 8)
-            for k in range(0, len(codes), 1 << 20):
-                some, of = codes[k : k + (1 << 20)], row[k : k + (1 << 20)]
-                order = np.argsort(some)
-                some, of = some[order], of[order]
-                part = some // size % parts
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                first, last = of.min(), of.max() + 1
-                ids = rids[first:last].tobytes()
-                for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                    x = order[cut[p] : cut[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), *[pa.array([v], pa.binary()) for v in (ids, (of[x] - first).tobytes(), some[x].tobytes())]], names=["part", "rids", "rows", "codes"]
-                    )
-
-    return run
-
-
-def _sum_contexts(shared):
-    """The logs of the normalisers of each row's contexts in a part, added; each different context is summed once."""
+    weight, out = np.exp(bias), np.empty(len(one))
+    for k in range(0, len(one), CONTEXTS):
+        x = slice(k, k + CONTEXTS)
+        q, total = a[one[x]] + b[two[x]], 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            for m in range(0, len(word), SUMMED):
+                terms = q @ word[m : m + SUMMED].T
+                total += np.exp(terms, out=terms) @ weight[m : m + SUMMED]
+        far = np.flatnonzero(~((total > 1e-27) & (total < 1e27)))  # 32 bits don't hold the terms of such a sum: it is taken again by its logs
+        total[far] = 1
+        out[x] = np.log(total)
+        for m in range(0, len(far), 64):
+            terms = q[far[m : m + 64]].astype(np.float64) @ word.T + bias
+            most = terms.max(axis=1)
+            out[k + far[m : m + 64]] = most + np.log(np.exp(terms - most[:, None]).sum(axis=1))
+    return out
+
+
+def two_levels(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The two levels of classes (the last class, a start, is context only): who stands where, and the vectors of both."""
+    word, bias = model["word"][:-1].astype(np.float64), model["bias"][:-1].astype(np.float64)
+    rank = np.argsort(-bias, kind="stable")
+    together, todo, groups = max(GROUP, 2 * sqrt(len(bias))), [rank[ALONE:]], []
+    while todo:
+        some = todo.pop()
+        if len(some) > together:
+            x = word[some] - word[some].mean(axis=0)
+            some = some[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+            todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+        elif len(some):
+            groups.append(some)
+    alone = rank[:ALONE]
+    order = np.concatenate([alone, *groups])
+    sizes = np.concatenate([np.ones(len(alone), np.int64), np.array([len(g) for g in groups], np.int64)])
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    word, weight = word[order], np.exp(bias[order] - bias.max())
+    whole = np.add.reduceat(weight, cuts[:-1])
+    return {
+        "alone": len(alone), "cuts": cuts, "place": place, "group": np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[place],
+        "word": word.astype(np.float32), "bias": bias[order].astype(np.float32),
+        "upper": (np.add.reduceat(word * weight[:, None], cuts[:-1]) / whole[:, None]).astype(np.float32), "upper_bias": (np.log(whole) + bias.max()).astype(np.float32),
+    }
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, found = shared.value["model"], []
-        for batch in batches:
-            for rids, rows, codes in zip(*[c.to_pylist() for c in batch.columns[1:]]):
-                found.append((np.frombuffer(rids, np.int64), np.frombuffer(rows, np.int32), np.frombuffer(codes, np.int64)))
-        if not found:
-            return
-        asked, back = np.unique(np.concatenate([codes for _, _, codes in found]), return_inverse=True)
-        a, b = (model["position"][k] * model["context"] for k in (0, 1))
-        one, two = np.divmod(asked, len(a))
-        logs = log_sums(a, b, model["word"][:-1], model["bias"][:-1], one, two) / np.log(10)  # the last class, a start, is context only
-        at = 0
-        for rids, rows, codes in found:
-            added = np.bincount(rows, weights=logs[back[at : at + len(codes)]], minlength=len(rids))
-            met = np.bincount(rows, minlength=len(rids)) > 0
-            at += len(codes)
-            yield pa.RecordBatch.from_arrays([pa.array(rids[met]), pa.array(added[met])], names=["rid", "log"])
 
-    return run
+def log_chances(levels: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target | context) of tokens, the contexts being a[one] + b[two]."""
+    group, place, alone, cuts = levels["group"][target], levels["place"][target], levels["alone"], levels["cuts"]
+    upper, upper_bias, word, bias = (levels[k] for k in ("upper", "upper_bias", "word", "bias"))
+    codes, met = np.unique(one * len(b) + two, return_inverse=True)  # each different context is summed once
+    out = upper_bias[group] - log_sums(a, b, upper, upper_bias, *np.divmod(codes, len(b)))[met]
+    for k in range(0, len(target), 8 * STEP):
+        x = slice(k, k + 8 * STEP)
+        out[x] += _dots(a[one[x]] + b[two[x]], upper[group[x]])
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(alone, len(cuts)))
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        x, own = order[cut[k] : cut[k + 1]], slice(*cuts[alone + k : alone + k + 2])
+        i, j, at = one[x], two[x], place[x]
+        out[x] += _dots(a[i] + b[j], word[at]) + bias[at] - log_sums(a, b, word[own], bias[own], i, j)
+    return out
 
 
 def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -451,42 +436,34 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
 
 def _score(shared):
     names = [x.split(" ")[0] for x in SCORED.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
         classes, size, ends = classes_of(value), value["size"], value["ends"]
         first, second = (value["model"]["position"][k] * value["model"]["context"] for k in (0, 1))
-        vectors, bias = value["model"]["word"], value["model"]["bias"]
         gain = np.log10(classes.count + 1)
         part, made = TaskContext.get().partitionId(), 0
-        for (ids, held), split in _texts(batches):
+        for (ids, held), split in _texts(batches, SCORED_TEXTS):
             n = len(split)
             index, cls, doc, rare = classes.index(split)
             one, two, target, of = classes.trigrams(cls, doc, n)
             known = index >= 0
             own = np.where(known, gain[np.maximum(index, 0)] if len(gain) else 0.0, 0.0)
             base = np.bincount(doc, weights=own, minlength=n) + log10(ends + 1)
-            scores = bias[target]
-            for k in range(0, len(target), 8 * STEP):
-                x = slice(k, k + 8 * STEP)
-                q = first[one[x]] + second[two[x]]
-                scores[x] += _dots(q, vectors[target[x]])
+            scores = log_chances(value["levels"], first, second, one, two, target)
             model = np.bincount(of, weights=scores / np.log(10), minlength=n)
             by_form = cls >= classes.own
             model += np.bincount(doc, weights=np.where(by_form, own - size[np.where(by_form, cls - classes.own, 0)], 0.0), minlength=n)
             some = np.bincount(doc, weights=known, minlength=n).astype(np.int64) + int(ends > 0)
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))]).tolist()
             tallies = [Counter(rare[a:b]) for a, b in zip(cut, cut[1:])]
-            n_tokens, codes = np.bincount(of, minlength=n), one * classes.size + two
-            ends_at = np.concatenate([[0], np.cumsum(8 * n_tokens)]).astype(np.int32)
             cols = (
-                np.arange(made, made + n) + (part << 36), ids, held, n_tokens, some, base, model,
+                np.arange(made, made + n) + (part << 36), ids, held, np.bincount(of, minlength=n), some, base, model,
                 [list(t) for t in tallies], [list(t.values()) for t in tallies],
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends_at), pa.py_buffer(codes)]),
             )
             made += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, (list, np.ndarray)) else c for c, t in zip(cols, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return run
 
@@ -517,7 +494,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     seen[-1] = 1e-9  # a start is context only
     model = train_all(training, words, least, seen / seen.sum())
 
-    shared = spark.sparkContext.broadcast({"words": words, "least": least, "model": model, "size": size, "ends": ends})
+    contexts = {k: model[k] for k in ("context", "position")}
+    shared = spark.sparkContext.broadcast({"words": words, "least": least, "model": contexts, "levels": two_levels(model), "size": size, "ends": ends})
     scored = stored(spark, rows.mapInArrow(_score(shared), SCORED))
     looked_up = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("word"), F.col("w.times").alias("tf"))
     found = (
@@ -525,16 +503,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         .groupBy("rid")
         .agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("gain"))
     )
-    parts = max(4, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // PART + 1)
-    dealt = scored.select("rid", "contexts").mapInArrow(_deal_contexts(len(seen), parts), "part int, rids binary, rows binary, codes binary")
-    whole = dealt.repartitionById(parts, F.col("part")).mapInArrow(_sum_contexts(shared), "rid long, log double").groupBy("rid").agg(F.sum("log").alias("whole"))
     n_train, n_words = total
-    return scored.drop("rare", "times", "contexts").join(found, "rid", "left").join(whole, "rid").select(
+    return scored.drop("rare", "times").join(found, "rid", "left").select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * log10(n_train + n_words + 1)).alias("base_score"),
-        (F.col("model") - F.col("whole") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import re
 import sys
 import zlib
@@ -406,6 +407,74 @@ def test_normaliser_sums_every_class(length, monkeypatch):
         assert np.allclose(found, want, rtol=1e-5, atol=1e-5)
 
 
+def test_lm_levels_are_normalised(monkeypatch):
+    """The chances of all classes after a context, from the sums of both levels and in a plain form; a class stands in one place."""
+    from brook.llm import language_model as lm
+
+    rng = np.random.default_rng(3)
+    model = lm.new_model(rng.random(90))
+    for name in ("word", "context"):
+        model[name] = rng.normal(0, 1, model[name].shape).astype(np.float32)
+    word, bias = model["word"][:-1].astype(float), model["bias"][:-1].astype(float)
+    one, two = rng.integers(0, 90, 40), rng.integers(0, 90, 40)
+    for alone, group, least in ((8, 5, 5), (0, 1, 5), (88, 1, 88), (89, 128, 89), (128, 128, 89)):
+        monkeypatch.setattr(lm, "ALONE", alone)
+        monkeypatch.setattr(lm, "GROUP", group)
+        levels = lm.two_levels(model)
+        assert b"brook" not in pickle.dumps(levels)  # it is broadcast to workers that may not have this package
+        assert len(levels["upper"]) >= least and sorted(levels["place"]) == list(range(89))
+        n = np.repeat(np.arange(40), 89)
+        found = lm.log_chances(levels, model["context"], model["context"], one[n], two[n], np.tile(np.arange(89), 40)).reshape(40, 89)
+        assert np.allclose(np.exp(found).sum(axis=1), 1, atol=1e-4)
+        for k, (i, j) in enumerate(zip(one, two)):
+            q = (model["context"][i] + model["context"][j]).astype(float)
+            score, who = word @ q + bias, [np.flatnonzero(levels["group"] == g) for g in range(len(levels["upper"]))]
+            upper = np.array([np.average(word[w], axis=0, weights=np.exp(bias[w])) @ q + np.log(np.exp(bias[w]).sum()) for w in who])
+            upper -= np.logaddexp.reduce(upper)
+            want = [upper[levels["group"][c]] + score[c] - np.logaddexp.reduce(score[who[levels["group"][c]]]) for c in range(89)]
+            assert np.allclose(found[k], want, atol=1e-4)
+            if least >= 88:  # nobody shares a group: the plain softmax
+                assert np.allclose(found[k], score - np.logaddexp.reduce(score), atol=1e-4)
+
+
+def test_lm_sums_the_root_of_the_classes(monkeypatch):
+    from brook.llm import language_model as lm
+
+    rng, terms, log_sums = np.random.default_rng(4), [], lm.log_sums
+    model = lm.new_model(rng.random(20_000))
+    monkeypatch.setattr(lm, "log_sums", lambda a, b, word, bias, one, two: terms.append(len(word) * len(one)) or log_sums(a, b, word, bias, one, two))
+    one, two, target = rng.integers(0, 20_000, (3, 3000))
+    lm.log_chances(lm.two_levels(model), model["context"], model["context"], one, two, np.minimum(target, 19_998))
+    assert 0 < sum(terms) < 3000 * 6 * math.sqrt(20_000)
+
+
+def test_lm_scores_of_grouped_words(spark, monkeypatch):
+    """Scores of texts whose words stand in groups; one row a text goes on from the scoring tasks, and no others are dealt out."""
+    from brook.llm import language_model as lm
+
+    rng, models = np.random.default_rng(6), []
+    train_all = lm.train_all
+    monkeypatch.setattr(lm, "train_all", lambda *a, **k: models.append(train_all(*a, **k)) or models[-1])
+    monkeypatch.setattr(lm, "ALONE", 12)
+    monkeypatch.setattr(lm, "GROUP", 4)
+    texts = [" ".join(f"w{k:02d}" for k in rng.integers(0, 90, 150)) for _ in range(150)] + [""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = lm.lm_score(rows, held=F.lit(False), least=2)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    score, (model,) = {r["doc_id"]: r["score"] for r in out.collect()}, models
+    count = collections.Counter(w for t in texts for w in t.split())
+    number = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w)))}
+    own, levels, m = len(number), lm.two_levels(model), {k: v.astype(float) for k, v in model.items()}
+    assert own == 90 and len(levels["upper"]) > 14
+    for k, text in enumerate(texts):
+        classes, want = [own + lm.FORMS + 1] * 2 + [number[w] for w in text.split()] + [own + lm.FORMS], 0.0
+        for one, two, cls in zip(classes, classes[1:], classes[2:]):
+            q = m["position"][0] * m["context"][one] + m["position"][1] * m["context"][two]
+            upper, s, same = levels["upper"] @ q + levels["upper_bias"], (m["word"] @ q + m["bias"])[:-1], levels["group"] == levels["group"][cls]
+            want += upper[levels["group"][cls]] - np.logaddexp.reduce(upper) + s[cls] - np.logaddexp.reduce(s[same])
+        assert score[k] == pytest.approx(want / math.log(10), abs=2e-3)
+
+
 def test_toxicity(docs, labels, empty):
     out = toxicity(docs, labels).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
     assert out.filter("toxic is not null and predicted <> toxic").count() == 0
